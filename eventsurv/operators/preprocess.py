@@ -79,13 +79,48 @@ def group_rare(df: DataFrame, top: DataFrame, cat_cols: list[str], keys=KEYS) ->
     out = df
     for c in cat_cols:
         hit = (top.where(F.col("column") == c)
-               .select(*keys, F.col("level").alias(f"_lvl_{c}"), F.lit(True).alias(f"_hit_{c}")))
-        out = (out.join(F.broadcast(hit), [*(out[k] == hit[k] for k in keys), out[c] == hit[f"_lvl_{c}"]], "left")
-               .select(*[out[x] for x in out.columns if x != c],
-                       F.when(hit[f"_hit_{c}"], out[c]).otherwise(F.lit(OTHER_LEVEL)).alias(c)))
+               .select(*[F.col(k).alias(f"_hk_{k}") for k in keys], F.col("level").alias("_hl"),
+                       F.lit(True).alias("_hit")))
+        cond = F.col(c) == F.col("_hl")
+        for k in keys:
+            cond = cond & (F.col(k) == F.col(f"_hk_{k}"))
+        out = (out.join(F.broadcast(hit), cond, "left")
+               .select(*[x for x in out.columns if x != c],
+                       F.when(F.col("_hit"), F.col(c)).otherwise(F.lit(OTHER_LEVEL)).alias(c)))
     return out.select(*df.columns)
 
 
+def long_stats(df: DataFrame, cols: list[str], keys=KEYS) -> DataFrame:
+    """A5 per (transition, column): mean, population std, min, max of the
+    non-NULL, non-NaN values.  Rows are unpivoted inside the scan and
+    combined map-side, so only transitions x columns partial states move."""
+    vals = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]))
+    long = df.select(*keys, vals.alias("_v")).select(*keys, "_v.column", F.col("_v.x").alias("x"))
+    x = F.when(~F.isnan("x"), F.col("x"))
+    return long.groupBy(*keys, "column").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
+                                             F.min(x).alias("mn"), F.max(x).alias("mx"))
+
+
+def wide_stats(df: DataFrame, cols: list[str], keys=KEYS) -> DataFrame:
+    """``long_stats`` collected (transitions x columns rows, model-sized) and
+    laid out as one row per transition for the scaling join."""
+    rows = long_stats(df, cols, keys).collect()
+    by_key: dict[tuple, dict] = {}
+    for r in rows:
+        d = by_key.setdefault(tuple(r[k] for k in keys), {})
+        d[r["column"]] = (r["mean"], r["std"], r["mn"], r["mx"])
+    fields = [T.StructField(k, T.StringType()) for k in keys]
+    for c in cols:
+        fields += [T.StructField(f"{c}__{s}", T.DoubleType()) for s in ("mean", "std", "min", "max")]
+    data = []
+    for k, d in by_key.items():
+        row = list(k)
+        for c in cols:
+            row += list(d.get(c, (None, None, None, None)))
+        data.append(row)
+    return df.sparkSession.createDataFrame(data, T.StructType(fields))
+
+
 def _stats_exprs(num_cols: list[str]):
     exprs = []
     for c in num_cols:
@@ -117,7 +152,7 @@ class PreprocessModel:
         long = st.select(*self.keys, rows.alias("_s")).select(*self.keys, "_s.*")
         return long.select(*self.keys, "column", "mean", "std",
                            F.when((F.col("std") == 0) | F.col("std").isNull(), F.lit(1.0)).otherwise(F.col("std")).alias("scale"),
-                           (F.col("mn") < F.col("mx")).alias("keep"))
+                           F.coalesce(F.col("mn") < F.col("mx"), F.lit(False)).alias("keep"))
 
     def constant_columns(self) -> DataFrame:
         """The columns dropped per transition (zero variance after scaling)."""
@@ -197,8 +232,7 @@ class Preprocessor:
                                 self.include_dummies)
         encoded = model._encode(train) if (self.include_dummies and dummy_cols) else train
         feature_cols = num_cols + dummy_cols
-        stats_row = encoded.groupBy(*keys).agg(*_stats_exprs(feature_cols))
-        stats = stats_row.sparkSession.createDataFrame(stats_row.collect(), stats_row.schema)
+        stats = wide_stats(encoded, feature_cols, keys)
         model.stats = stats
         model.feature_cols = feature_cols
         return model

@@ -12,7 +12,7 @@ from eventsurv.functions.features import (
 from eventsurv.operators.history import (ACTIVE_DAY_WINDOWS, MARKET_HISTORY_COLUMNS, USER_HISTORY_COLUMNS,
                                          event_features)
 from eventsurv.plans.catalog import query, rounded
-from eventsurv.plans.q_labels import labelled
+from eventsurv.plans.q_labels import feature_table, labelled
 from eventsurv.plans.sqlbase import base_feature_sql, cross_feature_sql, features_cte, rnd, with_all
 from eventsurv.sources.events import load_events
 
@@ -20,7 +20,7 @@ K = "index_event, outcome_event"
 
 
 def features(spark, sf_dir):
-    return event_features(load_events(spark, sf_dir))
+    return feature_table(spark, sf_dir)
 
 
 # engineered columns built from sin/cos/sqrt: rounded on both sides

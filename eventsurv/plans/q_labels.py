@@ -13,14 +13,26 @@ from eventsurv.operators.history import FEATURE_COLUMNS, event_features
 from eventsurv.operators.transitions import KEYS, survival_table, transition_counts
 from eventsurv.plans.catalog import query, rounded
 from eventsurv.plans.sqlbase import _case_action, rnd, with_all
+from eventsurv.sources.materialize import materialize_once, source_key
 from eventsurv.sources.events import INDEX_ACTIONS, OUTCOME_ACTIONS, load_events, transition_pairs
 
 K = ", ".join(KEYS)
 
 
+# bump when the feature definitions change (part of the materialized table key)
+FEATURE_VERSION = 1
+
+
+def feature_table(spark, sf_dir):
+    """Per-event features, written once per session to the checkpoint folder."""
+    events_path = f"{sf_dir.rstrip('/')}/events.parquet"
+    return materialize_once(spark, ("event_features", FEATURE_VERSION, *source_key(events_path)),
+                            lambda: event_features(load_events(spark, sf_dir)))
+
+
 def labelled(spark, sf_dir, keep=None):
     """The long labelled table (all transitions, train and test rows)."""
-    return survival_table(event_features(load_events(spark, sf_dir)), keep=keep)
+    return survival_table(feature_table(spark, sf_dir), keep=keep)
 
 
 def train_labels(spark, sf_dir):
