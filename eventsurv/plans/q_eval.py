@@ -265,13 +265,49 @@ def q_params_with_default(spark, sf_dir):
     return params_with_default(transition_pairs(load_events(spark, sf_dir)))
 
 
-@query("strategy_table")
+def _strategy_sql() -> str:
+    from eventsurv.plans import configs as C
+    def members(ms):
+        return " UNION ALL ".join(f"SELECT {i} AS member, '{st}' AS strategy, {r} AS rounds, {w} AS weight"
+                                  for i, (st, r, w) in enumerate(ms))
+    so = ", ".join(f"'{o}'" for o in C.STRONG_OUTCOMES)
+    wi = ", ".join(f"'{o}'" for o in C.WEAK_INDEXES)
+    wo = ", ".join(f"'{o}'" for o in C.WEAK_OUTCOMES)
+    params = " UNION ALL ".join(
+        f"SELECT '{k}' AS strategy, {v[0]} AS max_depth, {v[1]} AS eta, {v[2]} AS subsample, {v[3]} AS colsample_bytree, "
+        f"{v[4]} AS min_child_weight, {v[5]} AS lam, {v[6]} AS alpha, {v[7]} AS gamma, {v[8]} AS seed"
+        for k, v in C.STRATEGY_PARAMS.items())
+    return _PAIRS_SQL + f""",
+cls AS (SELECT *, CASE WHEN index_event = '{C.STRONG_INDEX}' AND outcome_event IN ({so}) THEN 'strong'
+                       WHEN index_event IN ({wi}) AND outcome_event IN ({wo}) THEN 'weak' ELSE 'moderate' END AS class FROM pairs),
+mem AS (SELECT 'strong' AS class, * FROM ({members(C.STRONG_MEMBERS)})
+        UNION ALL SELECT 'weak', * FROM ({members(C.WEAK_MEMBERS)})
+        UNION ALL SELECT 'moderate', * FROM ({members(C.MODERATE_MEMBERS)})),
+sp AS ({params})
+SELECT c.index_event, c.outcome_event, c.class, CAST(m.member AS INTEGER) AS member, m.strategy,
+       CAST(m.rounds AS INTEGER) AS rounds, CAST(m.weight AS DOUBLE) AS weight,
+       CAST(sp.max_depth AS INTEGER) AS max_depth, CAST(sp.eta AS DOUBLE) AS eta, CAST(sp.subsample AS DOUBLE) AS subsample,
+       CAST(sp.colsample_bytree AS DOUBLE) AS colsample_bytree, CAST(sp.min_child_weight AS INTEGER) AS min_child_weight,
+       CAST(sp.lam AS DOUBLE) AS "lambda", CAST(sp.alpha AS DOUBLE) AS alpha, CAST(sp.gamma AS DOUBLE) AS gamma,
+       CAST(sp.seed AS INTEGER) AS seed
+FROM cls c JOIN mem m USING (class) JOIN sp USING (strategy)"""
+
+
+def _run_grid_sql() -> str:
+    from eventsurv.plans import configs as C
+    runs = ", ".join(f"('{n}', {r}, {e}, '{fs}')" for n, r, e, fs in C.RUN_GRID)
+    return _PAIRS_SQL + f"""
+SELECT p.index_event, p.outcome_event, g.run, CAST(g.rounds AS INTEGER) AS rounds, CAST(g.eta AS DOUBLE) AS eta, g.feature_set
+FROM pairs p, (VALUES {runs}) g(run, rounds, eta, feature_set)"""
+
+
+@query("strategy_table", _strategy_sql())
 def q_strategy_table(spark, sf_dir):
     """The ensemble members of every transition present."""
     return strategy_table(transition_pairs(load_events(spark, sf_dir)))
 
 
-@query("run_grid")
+@query("run_grid", _run_grid_sql())
 def q_run_grid(spark, sf_dir):
     """The variant grid for every transition present."""
     return run_grid(transition_pairs(load_events(spark, sf_dir)))

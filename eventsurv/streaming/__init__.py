@@ -1,0 +1,13 @@
+"""Streaming.
+
+The surveyed project has no streaming part (no watermarks, windows over
+event time, state or late data): it fits models on finished files.  Only
+the scoring of new index events is stream-shaped, and it needs the same
+history features as the batch path; ``score_batches`` reuses the batch
+plan per micro-batch through ``foreachBatch`` so a stream of event files
+can be scored with a fitted model without a second implementation.
+"""
+
+from eventsurv.streaming.scoring import score_batches
+
+__all__ = ["score_batches"]
