@@ -21,6 +21,7 @@ from eventsurv.plans.catalog import query, rounded
 from eventsurv.plans.q_labels import labelled
 from eventsurv.plans.q_preprocess import transf
 from eventsurv.plans.sqlbase import with_all
+from eventsurv.operators.boosting import best_first_split, equal_width_bins
 from eventsurv.sources.sinks import prediction_table
 
 K = ", ".join(KEYS)
@@ -175,3 +176,41 @@ def q_prediction_table(spark, sf_dir):
     test = model.transform(t.where(F.col("split") == "test"))
     scored = partial_hazard_score(test, res)
     return prediction_table(scored.select(*KEYS, "row_id", "score"))
+
+
+# --- M11: histogram and best root split at margin 0 (oracle) -----------------------------
+SPLIT_COLUMNS = ["userActiveDaysWeekly", "userActiveDaysMonthly", "logAmount", "marketBorrowCount"]
+SPLIT_BINS, SPLIT_LAMBDA = 32, 1.0
+
+
+def _split_sql() -> str:
+    vals = " UNION ALL ".join(f"SELECT index_event, outcome_event, row_id, g, h, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM gh"
+                              for c in SPLIT_COLUMNS)
+    return _RISK_SQL + f""",
+gh AS (SELECT tr.*, ab.A - tr.status AS g, ab.A - ab.B AS h
+       FROM tr JOIN ab ON ab.index_event = tr.index_event AND ab.outcome_event = tr.outcome_event AND ab.t = tr.timeDiff),
+lng AS ({vals}),
+rng AS (SELECT {K}, feature, min(x) AS lo, max(x) AS hi FROM lng GROUP BY ALL),
+bn AS (SELECT l.*, CAST(CASE WHEN r.hi - r.lo > 0 THEN least(floor((l.x - r.lo) / (r.hi - r.lo) * {SPLIT_BINS}), {SPLIT_BINS - 1})
+                             ELSE 0 END AS INTEGER) AS bin
+       FROM lng l JOIN rng r USING (index_event, outcome_event, feature) WHERE l.x IS NOT NULL),
+hst AS (SELECT {K}, feature, bin, sum(g) AS G, sum(h) AS H FROM bn GROUP BY ALL),
+cum AS (SELECT *, sum(G) OVER w AS GL, sum(H) OVER w AS HL, sum(G) OVER t AS GT, sum(H) OVER t AS HT FROM hst
+        WINDOW w AS (PARTITION BY {K}, feature ORDER BY bin ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY {K}, feature)),
+cand AS (SELECT {K}, feature, bin,
+                0.5 * (GL * GL / (HL + {SPLIT_LAMBDA}) + (GT - GL) * (GT - GL) / ((HT - HL) + {SPLIT_LAMBDA})
+                       - GT * GT / (HT + {SPLIT_LAMBDA})) - 0.0 AS gain
+         FROM cum WHERE HL >= 1.0 AND HT - HL >= 1.0),
+best AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY round(gain, 9) DESC, feature, bin) AS rk FROM cand)
+SELECT {K}, feature, bin, round(gain, 6) + 0.0 AS gain FROM best WHERE rk = 1"""
+
+
+@query("boost_first_split", _split_sql())
+def q_boost_first_split(spark, sf_dir):
+    """Histogram of g, h at margin 0 over 32 equal-width bins and the
+    best root split per transition (lambda 1, alpha 0, gamma 0, min child weight 1)."""
+    t = labelled(spark, sf_dir).where(F.col("split") == "train")
+    g = cox_gradients(t.select(*KEYS, "row_id", "timeDiff", "status", *SPLIT_COLUMNS), F.lit(0.0))
+    rows = g.join(t.select(*KEYS, "row_id", *SPLIT_COLUMNS), [*KEYS, "row_id"], "inner")
+    best = best_first_split(equal_width_bins(rows, SPLIT_COLUMNS, SPLIT_BINS), lam=SPLIT_LAMBDA)
+    return rounded(best)
