@@ -1,23 +1,56 @@
 """Duration quantiles and cap-and-recensor.
 
-The quantile is exact (``percentile``, linear interpolation) and computed per
-transition with one aggregate; the result has one row per transition, so it
-is joined back with a broadcast whose size is the number of transitions.
+Quantiles are exact (linear interpolation) and distributed (see
+``exact_quantiles``); the cap table has one row per transition, so it is
+joined back with a broadcast whose size is the number of transitions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.functions.labels import signed_duration, signed_log_duration
+from eventsurv.operators.prefix import running_sums
 
 KEYS = ["index_event", "outcome_event"]
 
 
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys=KEYS) -> DataFrame:
+    """``(keys, q, value)``: exact linear-interpolated quantiles per group.
+
+    The built-in exact ``percentile`` keeps every distinct value of a group in
+    one task when it merges; here the values get an ordinal rank from the
+    range-partitioned running count, the two order statistics around
+    ``(n - 1) q`` are picked with a join on (group, rank) against a table of
+    groups x quantiles rows, and interpolated."""
+    spark = df.sparkSession
+    vals = df.select(*keys, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    ranked = running_sums(vals.withColumn("_one", F.lit(1)), keys, [F.col("_x")], ["_one"], exclusive=True,
+                          prefix="_rk")
+    counts = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).collect()   # one row per group
+    targets = []
+    for r in counts:
+        for q in qs:
+            pos = (r["_n"] - 1) * q
+            lo, hi = math.floor(pos), math.ceil(pos)
+            targets.append((*[r[k] for k in keys], float(q), int(lo), int(hi), float(pos - lo)))
+    schema = ", ".join([f"{k} string" for k in keys] + ["q double", "_lo long", "_hi long", "_f double"])
+    tg = spark.createDataFrame(targets, schema)
+    picks = ranked.select(*keys, "_x", F.col("_rk_one").cast("long").alias("_r"))
+    lo = picks.join(F.broadcast(tg), [*(picks[k] == tg[k] for k in keys), picks["_r"] == tg["_lo"]], "inner") \
+        .select(*[tg[k] for k in keys], "q", "_f", F.col("_x").alias("_xlo"))
+    hi = picks.join(F.broadcast(tg), [*(picks[k] == tg[k] for k in keys), picks["_r"] == tg["_hi"]], "inner") \
+        .select(*[tg[k] for k in keys], "q", F.col("_x").alias("_xhi"))
+    j = lo.join(hi, [*keys, "q"], "inner")
+    return j.select(*keys, "q", (F.col("_xlo") + (F.col("_xhi") - F.col("_xlo")) * F.col("_f")).alias("value"))
+
+
 def duration_cap(table: DataFrame, q: float) -> DataFrame:
     """``(keys, cap)``: the q-quantile of ``timeDiff`` per transition."""
-    return table.groupBy(*KEYS).agg(F.percentile("timeDiff", F.lit(q)).alias("cap"))
+    return exact_quantiles(table, "timeDiff", [q]).select(*KEYS, F.col("value").alias("cap"))
 
 
 def cap_durations(table: DataFrame, q: float = 0.99) -> DataFrame:
@@ -47,6 +80,8 @@ def cap_diagnostics(table: DataFrame, q: float = 0.98) -> DataFrame:
     """The cap, events turned into censored, and min/max/median of the
     durations before and after capping."""
     capped = cap_durations(table, q)
+    med = exact_quantiles(capped, "timeDiff", [0.5]).select(*KEYS, F.col("value").alias("median_t"))
+    med_c = exact_quantiles(capped, "timeDiff_capped", [0.5]).select(*KEYS, F.col("value").alias("median_t_capped"))
     return capped.groupBy(*KEYS).agg(
         F.max("cap").alias("cap"),
         F.count_if((F.col("status") == 1) & (F.col("status_adjusted") == 0)).alias("n_recensored"),
@@ -55,7 +90,5 @@ def cap_diagnostics(table: DataFrame, q: float = 0.98) -> DataFrame:
         F.count_if(F.col("status_adjusted") == 0).alias("n_censored_after"),
         F.min("timeDiff").alias("min_t"),
         F.max("timeDiff").alias("max_t"),
-        F.percentile("timeDiff", F.lit(0.5)).alias("median_t"),
         F.max("timeDiff_capped").alias("max_t_capped"),
-        F.percentile("timeDiff_capped", F.lit(0.5)).alias("median_t_capped"),
-    )
+    ).join(med, KEYS, "inner").join(med_c, KEYS, "inner")

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from eventsurv.functions.labels import raw_duration, signed_duration, signed_log_duration
-from eventsurv.operators.capping import cap_diagnostics, cap_durations, capped_labels
+from eventsurv.operators.capping import cap_diagnostics, cap_durations, capped_labels, exact_quantiles
 from eventsurv.operators.history import FEATURE_COLUMNS, event_features
 from eventsurv.operators.transitions import KEYS, survival_table, transition_counts
 from eventsurv.plans.catalog import query, rounded
@@ -142,11 +142,11 @@ SELECT {K}, quantile_cont(timeDiff, 0.98) AS q98, quantile_cont(timeDiff, 0.99)
 FROM trans WHERE split = 'train' GROUP BY ALL""")
 def q_duration_quantiles(spark, sf_dir):
     t = train_labels(spark, sf_dir)
-    return rounded(t.groupBy(*KEYS).agg(
-        F.percentile("timeDiff", F.lit(0.98)).alias("q98"),
-        F.percentile("timeDiff", F.lit(0.99)).alias("q99"),
-        F.min("timeDiff").alias("min_t"), F.max("timeDiff").alias("max_t"),
-        F.percentile("timeDiff", F.lit(0.5)).alias("median_t")), only=[])
+    qs = exact_quantiles(t, "timeDiff", [0.98, 0.99, 0.5])
+    wide = qs.groupBy(*KEYS).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n)
+                                   for q, n in ((0.98, "q98"), (0.99, "q99"), (0.5, "median_t"))])
+    mm = t.groupBy(*KEYS).agg(F.min("timeDiff").alias("min_t"), F.max("timeDiff").alias("max_t"))
+    return wide.join(mm, KEYS, "inner").select(*KEYS, "q98", "q99", "min_t", "max_t", "median_t")
 
 
 # --- L4/L5/A9 -------------------------------------------------------------------
