@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from llm import exact_dedup as exact
 from llm import minhash
+from llm import substring_dedup as passages
 from llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,8 @@ FROM d JOIN g ON d.t = g.t""")
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", exact.full_hash())
     return exact.duplicate_flags(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
