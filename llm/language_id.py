@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from llm.tables import small_batches
+
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 SAMPLE = 3000
@@ -135,6 +137,7 @@ def _fit(idf: np.ndarray, langs: list[str]):
 def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) -> dict | None:
     """A model from ``text`` and ``lang`` of ``docs`` (rows without a label
     are ignored); None without any."""
+    small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang", F.shiftrightunsigned(F.xxhash64("text", "doc_id"), 24).alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
-from llm.tables import bit_filter, components, drop_ids, text_slices
+from llm.tables import bit_filter, components, drop_ids, small_batches, text_slices
 from llm.words import constants, mix, shingles, word_hashes
 
 SYMBOLS = 64
@@ -207,6 +207,7 @@ def near_components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
     ``100 * intersection >= threshold * union``."""
     if threshold < 80:
         raise ValueError("the signature radius is laid out for a similarity of 0.8 or more")
+    small_batches(docs.sparkSession)
     signed = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         _sign(n), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "near-signed")
     linkable = signed.where("n_shingles > 0 and doc_id is not null")

@@ -41,13 +41,13 @@ from pyspark.sql import functions as F
 
 from eventsurv.operators.prefix import running_sums
 from eventsurv.sources.materialize import materialize
-from llm.tables import text_slices
+from llm.tables import small_batches, text_slices
 
 LENGTH = 2048
 WINDOW = 64 * LENGTH
 QUANTUM = 512
 END = 1
-CACHE = 500_000
+CACHE = 300_000
 _THREE = re.compile(r"\s\s\s")
 _LOADED: dict[str, tuple] = {}
 
@@ -101,6 +101,7 @@ def _tokenize(path: str, end: int):
                     small = ids.astype("<u2") if ids.max() < 1 << 16 else ids
                     blobs.append(bytes([small.itemsize]) + zlib.compress(small.tobytes(), 1))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "queue": pdf["queue"], "doc_tokens": counts, "blob": blobs})
+        _LOADED.clear()  # a worker that goes on to other tasks doesn't hold the words
     return run
 
 
@@ -129,6 +130,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW,
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, window, source``."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     tokens = (docs.select(F.col("doc_id").cast("long"), F.coalesce(source, F.lit("")).alias("queue"), "text")
               .mapInPandas(_tokenize(path, end), "doc_id long, queue string, doc_tokens long, blob binary")

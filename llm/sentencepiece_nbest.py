@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import text_slices
+from llm.tables import small_batches, text_slices
 
 SPACE = "▁"
 NBEST = 3
@@ -194,4 +194,5 @@ def _run(path: str, n: int):
 def nbest_segmentations(docs: DataFrame, path: str, n: int = NBEST) -> DataFrame:
     """One row a document: pieces and CRC-32 of the best segmentation, the
     scores and sizes of the ``n`` best, and whether all decode to the text."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_run(path, n), SCHEMA)

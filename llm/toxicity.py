@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
-from llm.tables import bit_filter
+from llm.tables import bit_filter, small_batches
 
 SUPPORT = 0.02
 LEAST = 3
@@ -201,6 +201,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | None:
     """Lexicon and regression from the labelled rows of ``docs``; None
     without toxic ones."""
+    small_batches(docs.sparkSession)
     marked = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
