@@ -101,7 +101,7 @@ def _tokenize(path: str, end: int):
                     small = ids.astype("<u2") if ids.max() < 1 << 16 else ids
                     blobs.append(bytes([small.itemsize]) + zlib.compress(small.tobytes(), 1))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "queue": pdf["queue"], "doc_tokens": counts, "blob": blobs})
-        _LOADED.clear()  # a worker that goes on to other tasks doesn't hold the words
+        _tokenizer(path)[2].clear()  # a worker that goes on to other tasks does not hold the words
     return run
 
 
