@@ -1,7 +1,8 @@
 """Sharding by histogram sort (operator 4, native).
 
-Rows are put in the order of a 64-bit key (by default the hash of the text, so
-equal texts are neighbours) with the place in the written table to break
+Rows are put in the order of a 53-bit key, the range in which Spark's
+quantiles are exact (by default the hash of the text, so equal texts are
+neighbours), with the place in the written table to break
 ties.  Splitters for shards of near equal bytes are found by counting: each
 round counts the exact bytes and rows below all probes in one aggregation
 (one row per interval), and takes new probes from the quantiles of the
@@ -42,7 +43,7 @@ def sized_rows(docs: DataFrame, key: Column | None = None) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return materialize(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.xxhash64(text) if key is None else key).alias("key")).withColumn("place", F.monotonically_increasing_id()), "shard-rows")
+        (F.shiftrightunsigned(F.xxhash64(text), 11) if key is None else key).alias("key")).withColumn("place", F.monotonically_increasing_id()), "shard-rows")
 
 
 def interval(df: DataFrame, probes: list[tuple[int, int]], name: str) -> DataFrame:
@@ -100,11 +101,14 @@ def splitters(rows: DataFrame, targets: list[int], start: int, tolerance: float)
                 for k in r["qkey"] or ():
                     new |= {(k, 0)} | ({(k + 1, 0)} if k < _TOP else set())
         fresh = sorted(new - set(probes))
-        if not fresh and want is not None and open_ <= set(want):
+        if want is not None and not open_ <= set(want):
+            want = sorted(open_)  # count again, with the quantiles of these intervals
+            continue
+        if not fresh:
             return probes, below, rows_below
         probes = sorted(set(probes) | set(fresh))
         # the next count has the intervals anew; quantiles are taken where a target may lie
-        want = None if not probes else _open_after(probes, fresh)
+        want = _open_after(probes, fresh)
     raise RuntimeError("the splitters did not settle")
 
 
