@@ -63,9 +63,9 @@ def interval(df: DataFrame, probes: list[tuple[int, int]], name: str) -> DataFra
     return df
 
 
-def splitters(rows: DataFrame, targets: list[int], start: int, tolerance: float) -> tuple[list, list, list]:
-    """Refines probes until each target (bytes below) has one within
-    ``tolerance``.  Returns the probes and the exact bytes and rows below."""
+def splitters(rows: DataFrame, targets: list[tuple[int, float]], start: int) -> tuple[list, list, list]:
+    """Refines probes until each target (bytes below, tolerance) has one as
+    near as that.  Returns the probes and the exact bytes and rows below."""
     probes: list[tuple[int, int]] = []
     want = None
     for _ in range(ROUNDS):
@@ -83,7 +83,7 @@ def splitters(rows: DataFrame, targets: list[int], start: int, tolerance: float)
             below.append(b)
             rows_below.append(c)
         open_ = set()
-        for t in targets:
+        for t, tolerance in targets:
             at = bisect.bisect_left(below, t)  # the interval that holds the target
             near = min((abs(t - x) for x in below[max(0, at - 1):at + 1]), default=None)
             if (near is None or near > tolerance) and at in got and got[at]["rows"] > 1:
@@ -131,7 +131,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: Column | None = None, tole
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = min(MAX_RANGES, max(shards, 4 * partitions(docs.sparkSession)))
     targets = [total * i // shards for i in range(1, shards)]
-    probes, below, rows_below = splitters(rows, targets, ranges, tolerance * total / shards)
+    # the shards' ends closely; the ends of the fine ranges so that a hot key is cut too
+    goals = [(t, tolerance * total / shards) for t in targets] + [(total * i // ranges, total / ranges) for i in range(1, ranges)]
+    probes, below, rows_below = splitters(rows, goals, ranges)
     cuts, first_row = [], []
     for t in targets:  # the probe nearest to each target
         i = min(range(len(below)), key=lambda i: abs(below[i] - t), default=None)
