@@ -20,7 +20,8 @@ Defined cases: a null text counts as empty; empty texts are equal to each
 other; ``keep_id`` is the smallest doc_id (nulls count only when a group has
 no other; such a row stays); rows repeated under one doc_id share the flag,
 and ``exact_dedup`` keeps one of them; an empty table gives an empty result;
-further columns pass through, and inner columns avoid their names.
+further columns pass through whatever their names; where one has the name of
+a result column, the result column stands.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
-from llm.tables import WHITE, bit_flag, bit_table
+from llm.tables import WHITE, bit_flag, bit_table, hide_extra
 
 PREFIX = 128
 
@@ -78,16 +79,20 @@ def duplicate_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def duplicate_flags(docs: DataFrame) -> DataFrame:
     """Every row with ``keep_id, group_size`` and ``kept``."""
-    single, several = duplicate_groups(docs)
-    return single.unionByName(several).drop("keep_rows").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    hidden, _, shown = hide_extra(docs, ("doc_id", "text"))
+    single, several = duplicate_groups(hidden)
+    own = ["keep_id", "group_size", "kept"]
+    both = single.unionByName(several).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return both.select(*[c for c, name in zip(shown, docs.columns, strict=True) if name not in own], *own)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
+    docs, _, shown = hide_extra(docs, ("doc_id", "text"))
     single, several = duplicate_groups(docs)
     stays = several.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     once = stays.where("keep_rows = 1").select(*docs.columns)
     # identical ids and texts: one row of them, by aggregation (no group is gathered)
     repeated = (stays.where("keep_rows > 1").groupBy(F.col("doc_id").alias("_i"), normalised().alias("_n"))
                 .agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
-    return single.select(*docs.columns).unionByName(once).unionByName(repeated)
+    return single.select(*docs.columns).unionByName(once).unionByName(repeated).select(*shown)

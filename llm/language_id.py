@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.tables import small_batches
+from llm.tables import hide_extra, small_batches
 
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
@@ -195,4 +195,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out()))
     if model is None:
         return docs
-    return docs.withColumn("_lang_of_row", predict(model)["lang"]).where(F.col("_lang_of_row") != UND).drop("_lang_of_row")
+    hidden, _, shown = hide_extra(docs, ("text",))
+    return hidden.withColumn("told", predict(model)["lang"]).where(F.col("told") != UND).select(*shown)

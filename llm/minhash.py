@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
-from llm.tables import bit_filter, components, drop_ids, small_batches, text_slices
+from llm.tables import bit_filter, components, drop_ids, hide_extra, small_batches, text_slices
 from llm.words import constants, mix, shingles, word_hashes
 
 SYMBOLS = 64
@@ -274,4 +274,5 @@ def near_components(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFra
 def near_dedup(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """``docs`` without the rows that are not the first of their component."""
     flags = near_components(docs, n, threshold)
-    return drop_ids(docs, flags.where("not kept").select("doc_id")).select(*docs.columns)
+    hidden, _, shown = hide_extra(docs, ("doc_id",))
+    return drop_ids(hidden, flags.where("not kept").select("doc_id")).select(*shown)

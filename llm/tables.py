@@ -28,12 +28,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it until ``df`` has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+def hide_extra(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, list[str], list[Column]]:
+    """``df`` with the columns that an operator doesn't read renamed to
+    ``extra0, extra1, ...``, so that no name of theirs can clash with an inner
+    one; their hidden names, and the columns that give all back in order."""
+    hidden = {c: c if c in needed else f"extra{i}" for i, c in enumerate(df.columns)}
+    return (df.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]), list(hidden.values()),
+            [F.col(h).alias(c) for c, h in hidden.items()])
 
 
 def text_slices(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
