@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 from eventsurv.operators.prefix import running_sums
 
 KEYS = ["index_event", "outcome_event"]
-# --- fixed values: the integer hash used for all seeded choices --------------
-HASH_MOD = 1_000_003
-HASH_MUL = 40_503
-# ---------------------------------------------------------------------------
+HASH_DIGITS = 13  # hex digits: 52 bits, exact in a double
 
 
 def unit_hash(x: Column, seed: int) -> Column:
-    """A value in [0, 1) from a non-negative integer and a seed."""
-    h = F.pmod(F.pmod(x, F.lit(HASH_MOD)) * F.lit(HASH_MUL) + F.lit(seed), F.lit(HASH_MOD))
-    return h / F.lit(float(HASH_MOD))
+    """A value in [0, 1) from an integer and a seed: 52 bits of the MD5 of
+    both, so values for different integers are as good as independent and
+    every one of up to 4.5e15 rows can be drawn."""
+    text = F.concat(x.cast("string"), F.lit(f":{seed}"))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
+    return h / F.lit(float(16 ** HASH_DIGITS))
+
+
+def unit_hash_sql(x: str, seed: int) -> str:
+    """The same in DuckDB."""
+    return f"(CAST('0x' || substr(md5(CAST({x} AS VARCHAR) || ':{seed}'), 1, {HASH_DIGITS}) AS BIGINT) / {float(16 ** HASH_DIGITS)!r})"
 
 
 def seeded_split(df: DataFrame, holdout: float, seed: int, id_col: str = "row_id") -> DataFrame:

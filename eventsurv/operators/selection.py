@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson r as covariance / (std x std); NULL when a variance is 0
+    """Pearson r as covariance / (std x std) over the rows where both values
+    exist; NULL when a variance is 0
     (the built-in ``corr`` raises under ANSI mode there)."""
-    x, y = x.cast("double"), y.cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
@@ -50,9 +52,3 @@ def select_long(df: DataFrame, selection: DataFrame, cols: list[str], keys: list
 def project_by_ordinal(df: DataFrame, names: list[str], order: list[int], head: list[str]) -> DataFrame:
     """``head`` columns first, then ``names[i]`` for i in ``order``."""
     return df.select(*head, *[names[i] for i in order])
-
-
-def project_by_list(df: DataFrame, cols: list[str], head: list[str]) -> DataFrame:
-    """P5 for one column list: ``head`` then ``cols`` (absent names ignored)."""
-    present = set(df.columns)
-    return df.select(*head, *[c for c in cols if c in present])

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventsurv.operators.concordance import concordance_index, pair_counts
-from eventsurv.operators.ensemble import long_to_wide, ordinal_rank, rank_blend, weighted_mean
-from eventsurv.operators.sampling import HASH_MOD, HASH_MUL, oversample_exact, seeded_split
+from eventsurv.operators.ensemble import ordinal_rank, rank_blend, weighted_mean
+from eventsurv.operators.sampling import oversample_exact, seeded_split, unit_hash, unit_hash_sql
 from eventsurv.operators.transitions import KEYS
 from eventsurv.plans.catalog import query, rounded
 from eventsurv.plans.configs import (BLEND_WEIGHTS, params_with_default, run_grid, strategy_table)
@@ -175,8 +175,7 @@ def q_rank_blend(spark, sf_dir):
 
 # --- W3 / W4 / W5 / W6 / W8 ------------------------------------------------------------
 def _split_sql(holdout: float, seed: int) -> str:
-    u = f"((((row_id % {HASH_MOD}) * {HASH_MUL} + {seed}) % {HASH_MOD}) / {float(HASH_MOD)})"
-    return f"CASE WHEN {u} < {1.0 - holdout} THEN 'fit' ELSE 'holdout' END"
+    return f"CASE WHEN {unit_hash_sql('row_id', seed)} < {1.0 - holdout} THEN 'fit' ELSE 'holdout' END"
 
 
 @query("split_90_10", with_all() + f"\nSELECT {K}, row_id, {_split_sql(0.1, 2025)} AS part FROM trans WHERE split = 'train'")
@@ -196,17 +195,24 @@ OVERSAMPLE_SEED = 42
 
 def _oversample(spark, sf_dir):
     t = labelled(spark, sf_dir, keep=[]).where(F.col("split") == "train").select(*KEYS, "row_id", "timeDiff", "status")
-    n = t.where(F.col("status") == 1).groupBy(*KEYS).agg((F.count(F.lit(1)) / 5).cast("long").alias("n"))
-    return t, oversample_exact(t, F.col("status") == 0, n, OVERSAMPLE_SEED)
+    # the rarer status of each transition is drawn, a fifth as often as the other occurs (censored on ties)
+    counts = t.groupBy(*KEYS).agg(F.count_if(F.col("status") == 0).alias("n0"), F.count_if(F.col("status") == 1).alias("n1"))
+    roles = counts.select(*KEYS, F.when(F.col("n0") <= F.col("n1"), 0).otherwise(1).alias("rare"),
+                          F.expr("greatest(n0, n1) div 5").alias("n"))
+    marked = t.join(F.broadcast(roles.select(*KEYS, "rare")), KEYS)  # one row per transition
+    over = oversample_exact(marked, F.col("status") == F.col("rare"), roles.select(*KEYS, "n"), OVERSAMPLE_SEED)
+    return t, over.drop("rare")
 
 
 _OVER_SQL = with_all() + f""",
 tr AS (SELECT index_event, outcome_event, row_id, timeDiff, status FROM trans WHERE split = 'train'),
-mino AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY row_id) - 1 AS ord FROM tr WHERE status = 0),
-sizes AS (SELECT {K}, count(*) FILTER (WHERE status = 1) // 5 AS n, count(*) FILTER (WHERE status = 0) AS m
-          FROM tr GROUP BY ALL HAVING count(*) FILTER (WHERE status = 1) // 5 >= 1 AND count(*) FILTER (WHERE status = 0) > 0),
+roles AS (SELECT {K}, CASE WHEN sum(1 - status) <= sum(status) THEN 0 ELSE 1 END AS rare,
+                 CAST(greatest(sum(1 - status), sum(status)) // 5 AS BIGINT) AS n, CAST(least(sum(1 - status), sum(status)) AS BIGINT) AS m FROM tr GROUP BY ALL),
+mino AS (SELECT tr.*, row_number() OVER (PARTITION BY {K} ORDER BY row_id) - 1 AS ord
+         FROM tr JOIN roles USING (index_event, outcome_event) WHERE status = rare),
+sizes AS (SELECT {K}, n, m FROM roles WHERE n >= 1 AND m > 0),
 draws AS (SELECT s.index_event, s.outcome_event, d.k AS draw,
-                 CAST(floor(((((d.k % {HASH_MOD}) * {HASH_MUL} + {OVERSAMPLE_SEED}) % {HASH_MOD}) / {float(HASH_MOD)}) * s.m) AS BIGINT) AS ord
+                 CAST(floor({unit_hash_sql('d.k', OVERSAMPLE_SEED)} * s.m) AS BIGINT) AS ord
           FROM sizes s, LATERAL (SELECT range AS k FROM range(s.n)) d),
 over AS (SELECT d.index_event, d.outcome_event, d.draw, m.row_id, m.timeDiff, m.status
          FROM draws d JOIN mino m USING (index_event, outcome_event, ord))"""
@@ -236,12 +242,14 @@ def q_head_rows(spark, sf_dir):
         .select(*KEYS, "row_id", "timeDiff", "status")
 
 
-@query("shuffled_rows")
+@query("shuffled_rows", _OVER_SQL + f"""
+SELECT {K}, row_id, status, round({unit_hash_sql('row_id', 42)}, 6) + 0.0 AS place
+FROM (SELECT {K}, row_id, status FROM tr UNION ALL SELECT {K}, row_id, status FROM over)""")
 def q_shuffled_rows(spark, sf_dir):
-    """The balanced rows in a seeded random order (rows only)."""
+    """The balanced rows in the order of a hash of (row, seed)."""
     t, over = _oversample(spark, sf_dir)
     u = t.select(*KEYS, "row_id", "status").unionByName(over.select(*KEYS, "row_id", "status"))
-    return u.orderBy(F.rand(42))
+    return rounded(u.withColumn("place", unit_hash(F.col("row_id"), 42)).orderBy("place", *KEYS, "row_id"), only=["place"])
 
 
 # --- P12 / P13 / E4 / M18 ---------------------------------------------------------------

@@ -162,8 +162,8 @@ def q_scaled_test(spark, sf_dir):
 
 def _corr(a: str, b: str) -> str:
     x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
-    den = f"(stddev_samp({x}) * stddev_samp({y}))"
-    return f"(CASE WHEN {den} = 0 THEN NULL ELSE covar_samp({x}, {y}) / {den} END)"
+    flat = [f"coalesce(stddev_samp(CASE WHEN {v} IS NOT NULL THEN {u} END), 0) = 0" for u, v in ((x, y), (y, x))]
+    return f"(CASE WHEN {flat[0]} OR {flat[1]} THEN NULL ELSE corr({x}, {y}) END)"
 
 
 # --- A13: Pearson correlations (pairwise complete rows) ---------------------------
