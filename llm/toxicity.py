@@ -207,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
     first = texts.select("_id", F.xxhash64("text").alias("h")).join(marked, "_id").groupBy("h").agg(F.min("_id").alias("_id"), F.max("toxic").alias("toxic"))
     first = materialize(first.select("_id", "toxic"), "toxic-ids")
-    rows = materialize(bit_filter(texts, F.col("_id"), first, "_id").join(first, "_id"), "toxic-rows")
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = bit_filter(texts, F.col("_id"), first, "_id").join(first, "_id")
+    totals = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     a_all, c_all = totals.get(1, 0), totals.get(0, 0)
     if not a_all:
         return None
@@ -228,13 +228,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     known = {r["word"] for r in counts.where("clean > 0 and clean >= toxic").select("word").mapInPandas(near, "word string").collect()}
     lexicon = Lexicon(terms, known)
     bound = int(min(1.0, SAMPLE / (a_all + c_all)) * 2 ** 40)
-    fitting = rows.where(F.shiftrightunsigned(F.xxhash64("_id"), 24) <= bound).select("text", "toxic")
+    few = first.where(F.shiftrightunsigned(F.xxhash64("_id"), 24) <= bound)
+    fitting = bit_filter(texts, F.col("_id"), few, "_id").join(few, "_id").select("text", "toxic")
 
     def measure(batches):
         for pdf in batches:
             yield pd.DataFrame({"x": [features(t, lexicon) for t in pdf["text"]], "y": pdf["toxic"]})
 
-    xy = fitting.mapInPandas(measure, "x array<double>, y int").orderBy("y", "x").collect()  # bounded by SAMPLE
+    xy = fitting.mapInPandas(measure, "x array<double>, y int").collect()  # bounded by SAMPLE
+    xy = sorted(xy, key=lambda r: (r["y"], r["x"]))
     return lexicon, fit_logistic(np.array([r["x"] for r in xy]), np.array([r["y"] for r in xy], dtype=float))
 
 
