@@ -24,9 +24,12 @@ pieces first); rows repeat; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,7 +46,6 @@ _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]*")
 # a U+2581 of the text itself must not become a space: it is set aside as a
 # character beyond Unicode's assigned ones, which only byte pieces cover
 _OWN = "\U0010fffe"
-_HIDE = {ord(" "): SPACE, ord(SPACE): _OWN}
 _LOADED: dict = {}
 
 
@@ -64,36 +66,55 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and SPACE not in p.lstrip(SPACE):
                 self.id[p], self.score[p] = i, sp.get_score(i)
                 self.text[i] = p.replace(SPACE, " ").encode()
-        self.longest = max(map(len, self.id))
         self.byte_score = min(self.score.values()) - 10.0
+        # trie of the pieces; a node holds its own piece's (score, ids) under ""
+        self.root: dict = {}
+        for p, i in self.id.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = (self.score[p], (i,))
+        self.raw = [self.text.get(i, b"") for i in range(sp.get_piece_size())]
         self.cache: dict[tuple[str, int], list] = {}
 
+    def lattice(self, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
+        """For every end (start, score, ids) of the pieces that end there, and
+        the best score from the start to it (forward Viterbi)."""
+        n, chars, root = len(s), list(s), self.root
+        into: list[list] = [[] for _ in range(n + 1)]
+        best = [0.0] + [float("-inf")] * n
+        for a in range(n):
+            here, node, known = best[a], root, False
+            for b in range(a + 1, n + 1):
+                node = node.get(chars[b - 1])
+                if node is None:
+                    break
+                got = node.get("")
+                if got is not None:
+                    sc, ids = got
+                    known |= b == a + 1
+                    into[b].append((a, sc, ids))
+                    if here + sc > best[b]:
+                        best[b] = here + sc
+            if not known:
+                raw = (SPACE if chars[a] == _OWN else chars[a]).encode("utf-8", "surrogatepass")
+                sc = self.byte_score * len(raw)
+                into[a + 1].append((a, sc, tuple(self.byte[x] for x in raw)))
+                if here + sc > best[a + 1]:
+                    best[a + 1] = here + sc
+        return into, best
+
     def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For every end: (start, score, ids) of the pieces that end there."""
-        into: list[list] = [[] for _ in range(len(s) + 1)]
-        for a in range(len(s)):
-            one = False
-            for b in range(min(len(s), a + self.longest), a, -1):
-                p = s[a:b]
-                i = self.id.get(p)
-                if i is not None:
-                    into[b].append((a, self.score[p], (i,)))
-                    one |= b == a + 1
-            if not one:
-                raw = (SPACE if s[a] == _OWN else s[a]).encode("utf-8", "surrogatepass")
-                into[a + 1].append((a, self.byte_score * len(raw), tuple(self.byte[x] for x in raw)))
-        return into
+        return self.lattice(s)[0]
 
     def nbest(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of ``s``, best first."""
-        into = self.edges(s)
-        best = [0.0] + [float("-inf")] * len(s)
-        for b in range(1, len(s) + 1):
-            best[b] = max(best[a] + sc for a, sc, _ in into[b])
+        into, best = self.lattice(s)
+        push, pop = heapq.heappush, heapq.heappop
         out, order = [], 0
         heap = [(-best[len(s)], 0, len(s), 0.0, None)]
         while heap and len(out) < n:
-            _, _, at, back, path = heapq.heappop(heap)
+            _, _, at, back, path = pop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -103,39 +124,41 @@ class Pieces:
                 continue
             for a, sc, ids in into[at]:
                 order += 1
-                heapq.heappush(heap, (-(best[a] + sc + back), order, a, sc + back, (ids, path)))
+                push(heap, (-(best[a] + sc + back), order, a, sc + back, (ids, path)))
         return out
 
-    def segment(self, s: str, n: int) -> list[tuple[float, bytes, int]]:
-        key = (s, n)
-        got = self.cache.get(key)
+    def segment(self, s: str, n: int) -> Sequence[tuple[float, bytes, int]]:
+        got = self.cache.get((s, n))
         if got is None:
             if len(s) > LONG:  # one long segment: pieces of it in a row, each searched in full
                 parts = [self.segment(s[a:a + LONG], n) for a in range(0, len(s), LONG)]
-                got = [(sc, b"".join(parts[i][k][1] for i, k in enumerate(pick)), sum(parts[i][k][2] for i, k in enumerate(pick)))
-                       for sc, pick in best_sums([[x[0] for x in p] for p in parts], n)]
+                got = []
+                for sc, moved in best_sums([[x[0] for x in p] for p in parts], n):
+                    took = [p[0] for p in parts]
+                    for i, k in moved:
+                        took[i] = parts[i][k]
+                    got.append((sc, b"".join([x[1] for x in took]), sum([x[2] for x in took])))
             else:
-                got = [(sc, np.array(ids, dtype="<u4").tobytes(), len(ids)) for sc, ids in self.nbest(s, n)]
+                got = tuple([(sc, array("I", ids).tobytes(), len(ids)) for sc, ids in self.nbest(s, n)])
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            self.cache[key] = got
+            self.cache[(s, n)] = got
         return got
 
 
-def best_sums(choices: list[list[float]], n: int) -> list[tuple[float, list[int]]]:
+def best_sums(choices: list[list[float]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
     """The ``n`` largest sums of one value from each descending list, with the
-    places chosen; best-first over the losses against the best choice."""
-    total = sum(c[0] for c in choices)
-    second = heapq.nsmallest(n, ((c[0] - c[1], i) for i, c in enumerate(choices) if len(c) > 1))
-    lists = [i for _, i in second]  # only lists with the least losses can be in the n best
+    (list, place) of the values that aren't a list's first; best-first over
+    the losses against the best choice."""
+    total = sum([c[0] for c in choices])
+    loss_of = np.array([c[0] - c[1] if len(c) > 1 else np.inf for c in choices])
+    order = np.argsort(loss_of, kind="stable")[:n].tolist()
+    lists = [i for i in order if len(choices[i]) > 1]  # only lists with the least losses can be in the n best
     seen, out = {()}, []
     heap: list[tuple[float, tuple]] = [(0.0, ())]
     while heap and len(out) < n:
         loss, moved = heapq.heappop(heap)
-        pick = [0] * len(choices)
-        for i, k in moved:
-            pick[i] = k
-        out.append((total - loss, pick))
+        out.append((total - loss, moved))
         state = dict(moved)
         for i in lists:
             k = state.get(i, 0) + 1
@@ -150,6 +173,7 @@ def best_sums(choices: list[list[float]], n: int) -> list[tuple[float, list[int]
 def pieces_of(path: str) -> Pieces:
     if path not in _LOADED:
         _LOADED[path] = Pieces(path)
+        gc.freeze()  # the trie stays; the collector needn't walk it
     return _LOADED[path]
 
 
@@ -158,18 +182,24 @@ def encode(text: str | None, path: str, n: int = NBEST) -> list[tuple[float, np.
     p = pieces_of(path)
     if not text:
         return [(0.0, np.zeros(0, dtype="<u4"))]
-    body = SPACE + text.translate(_HIDE)
-    segments = [s for s in _SEGMENT.findall(body) if s]
-    found = [p.segment(s, n) for s in segments]
+    body = SPACE + text.replace(SPACE, _OWN).replace(" ", SPACE)
+    cache, segment = p.cache, p.segment
+    found = [cache.get((s, n)) or segment(s, n) for s in _SEGMENT.findall(body) if s]
+    first = [f[0][1] for f in found]
     out = []
-    for sc, pick in best_sums([[x[0] for x in f] for f in found], n):
-        out.append((sc, np.frombuffer(b"".join([f[k][1] for f, k in zip(found, pick, strict=True)]), dtype="<u4")))
+    for sc, moved in best_sums([[x[0] for x in f] for f in found], n):
+        ids = first
+        if moved:
+            ids = first.copy()
+            for i, k in moved:
+                ids[i] = found[i][k][1]
+        out.append((sc, np.frombuffer(b"".join(ids), dtype="<u4")))
     return out
 
 
 def decode(ids, path: str) -> str:
-    t = pieces_of(path).text
-    return b"".join([t[int(i)] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+    raw = pieces_of(path).raw
+    return b"".join(map(raw.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, nbest_pieces array<long>, round_trip boolean"
