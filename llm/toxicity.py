@@ -167,21 +167,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _count_words(batches):
-    from collections import Counter
-    both = (Counter(), Counter())
-    for pdf in batches:
-        for t, y in zip(pdf["text"], pdf["toxic"], strict=True):
-            both[int(y)].update(set(WORD.findall(t.lower())))
-        if sum(map(len, both)) > 1_000_000:
-            yield _counted(both)
-            both[0].clear(), both[1].clear()
-    yield _counted(both)
+def _words_of(keep):
+    """Gives (_id, words): the distinct words of each text that ``keep`` holds."""
+    def run(batches):
+        for pdf in batches:
+            words = [[w for w in set(WORD.findall(t.lower())) if keep(w)] for t in pdf["text"]]
+            some = np.array([bool(w) for w in words], dtype=bool)
+            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[some], "words": [w for w in words if w]})
+    return run
 
 
-def _counted(both) -> pd.DataFrame:
-    words = list({**both[0], **both[1]})
-    return pd.DataFrame({"word": words, "clean": [both[0][w] for w in words], "toxic": [both[1][w] for w in words]}).astype({"clean": "int64", "toxic": "int64"})
+def word_counts(texts: DataFrame, rows: DataFrame, keep) -> DataFrame:
+    """``word, clean, toxic``: the texts of ``rows`` (_id, toxic) with each
+    word that ``keep`` holds.  Only these words are shuffled, no text."""
+    words = bit_filter(texts, F.col("_id"), rows, "_id").mapInPandas(_words_of(keep), "_id long, words array<string>")
+    return (words.join(rows, "_id").select(F.explode("words").alias("word"), "toxic").groupBy("word")
+            .agg(F.sum((F.col("toxic") == 0).cast("long")).alias("clean"), F.sum("toxic").cast("long").alias("toxic")))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -202,40 +203,37 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     """Lexicon and regression from the labelled rows of ``docs``; None
     without toxic ones."""
     small_batches(docs.sparkSession)
-    marked = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").where("text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("doc_id is not null and text is not null")
     first = texts.select("_id", F.xxhash64("text").alias("h")).join(marked, "_id").groupBy("h").agg(F.min("_id").alias("_id"), F.max("toxic").alias("toxic"))
     first = materialize(first.select("_id", "toxic"), "toxic-ids")
-    rows = bit_filter(texts, F.col("_id"), first, "_id").join(first, "_id")
     totals = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     a_all, c_all = totals.get(1, 0), totals.get(0, 0)
     if not a_all:
         return None
-    counts = materialize(rows.select("text", "toxic").mapInPandas(_count_words, "word string, clean long, toxic long")
-                         .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
+    # as many as the mean number of words in a toxic text over SUPPORT
+    often = word_counts(texts, first.where("toxic = 1"), lambda w: True).where(F.col("toxic") >= max(LEAST, SUPPORT * a_all))
+    often = {r["word"] for r in often.select("word").collect()}
+    counts = word_counts(texts, first, often.__contains__)
     weight = F.log((F.col("toxic") + 0.5) / (a_all - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (c_all - F.col("clean") + 0.5))
     ratio = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
-    chosen = (counts.where((F.col("toxic") >= max(LEAST, SUPPORT * a_all)) & (ratio >= PURITY))
-              .orderBy(F.desc(weight), "word").limit(MAX_TERMS).select("word", weight.alias("w")).collect())
+    chosen = counts.where(ratio >= PURITY).orderBy(F.desc(weight), "word").limit(MAX_TERMS).select("word", weight.alias("w")).collect()
     terms = {r["word"]: float(r["w"]) for r in chosen}
     bare = Lexicon(terms, set())
-
-    def near(batches):  # clean words within reach of a term: as many as the lexicon's neighbourhood
-        for pdf in batches:
-            yield pdf[[bool((m := bare.match(w)) and m[1]) for w in pdf["word"]]]
-
-    known = {r["word"] for r in counts.where("clean > 0 and clean >= toxic").select("word").mapInPandas(near, "word string").collect()}
+    # clean words within reach of a term: as many as the lexicon's neighbourhood
+    near = word_counts(texts, first, lambda w: bool((m := bare.match(w)) and m[1]))
+    known = {r["word"] for r in near.where("clean > 0 and clean >= toxic").select("word").collect()}
     lexicon = Lexicon(terms, known)
     bound = int(min(1.0, SAMPLE / (a_all + c_all)) * 2 ** 40)
     few = first.where(F.shiftrightunsigned(F.xxhash64("_id"), 24) <= bound)
-    fitting = bit_filter(texts, F.col("_id"), few, "_id").join(few, "_id").select("text", "toxic")
 
     def measure(batches):
         for pdf in batches:
-            yield pd.DataFrame({"x": [features(t, lexicon) for t in pdf["text"]], "y": pdf["toxic"]})
+            yield pd.DataFrame({"_id": pdf["_id"], "x": [features(t, lexicon) for t in pdf["text"]]})
 
-    xy = fitting.mapInPandas(measure, "x array<double>, y int").collect()  # bounded by SAMPLE
+    measured = bit_filter(texts, F.col("_id"), few, "_id").mapInPandas(measure, "_id long, x array<double>")
+    xy = measured.join(few, "_id").select("x", F.col("toxic").alias("y")).collect()  # bounded by SAMPLE
     xy = sorted(xy, key=lambda r: (r["y"], r["x"]))
     return lexicon, fit_logistic(np.array([r["x"] for r in xy]), np.array([r["y"] for r in xy], dtype=float))
 
