@@ -173,7 +173,7 @@ def _words_of(keep):
         for pdf in batches:
             words = [[w for w in set(WORD.findall(t.lower())) if keep(w)] for t in pdf["text"]]
             some = np.array([bool(w) for w in words], dtype=bool)
-            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[some], "words": [w for w in words if w]})
+            yield pd.DataFrame({"_id": pdf["_id"].to_numpy()[some], "words": pd.Series([w for w in words if w], dtype=object)})
     return run
 
 
@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
 
     def measure(batches):
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "x": [features(t, lexicon) for t in pdf["text"]]})
+            yield pd.DataFrame({"_id": pdf["_id"], "x": pd.Series([features(t, lexicon) for t in pdf["text"]], dtype=object)})
 
     measured = bit_filter(texts, F.col("_id"), few, "_id").mapInPandas(measure, "_id long, x array<double>")
     xy = measured.join(few, "_id").select("x", F.col("toxic").alias("y")).collect()  # bounded by SAMPLE
