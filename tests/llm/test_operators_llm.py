@@ -240,3 +240,14 @@ def test_embedding_links(spark):
     assert len(got) == len(rows) and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
     found = sum(got[i]["n_links"] for i in range(len(v)))
     assert found >= 0.9 * g.sum() and all(got[i]["n_links"] <= g[i].sum() for i in range(len(v)))
+
+
+def test_packing_ids_equal_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(BPE)
+    rng = random.Random(5)
+    letters = [*"abcdefgh XYZ019.,!?'\n\t", "'s", "  ", "é", "中", "١", "́", "😀", "\x85", "\x1c"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [" " * 100_000, "a" * 50_000, "x <|endoftext|> y", "\n" * 255 + "a", "", None, *t.get_vocab()]
+    for text, ids in zip(texts, packing.encode(texts, BPE), strict=True):
+        assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids, text
