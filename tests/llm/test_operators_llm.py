@@ -251,3 +251,19 @@ def test_packing_ids_equal_the_tokenizers_ids():
     texts += [" " * 100_000, "a" * 50_000, "x <|endoftext|> y", "\n" * 255 + "a", "", None, *t.get_vocab()]
     for text, ids in zip(texts, packing.encode(texts, BPE), strict=True):
         assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_compact_windows_of_texts_strung_together_cover_every_sub_sequence():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        width = int(rng.integers(1, 6))
+        ends = np.cumsum(rng.integers(width, 15, size=3))
+        x = rng.integers(0, 6, size=ends[-1]).astype(np.uint64)
+        spans = {int(c): (int(a), int(b)) for a, c, b in zip(*substring_dedup.compact_windows(x, width, ends))}
+        for c, (a, b) in spans.items():
+            assert b - a + 1 >= width and x[a:b + 1].min() == x[c]
+        for start, end in zip([0, *ends[:-1]], ends):
+            for a in range(start, end):
+                for b in range(a + width, end + 1):
+                    low = x[a:b].min()
+                    assert any(x[c] == low and c in spans and spans[c][0] <= a and spans[c][1] >= b - 1 for c in range(a, b))
