@@ -19,3 +19,8 @@ def signed_log_duration(t: Column, status: Column) -> Column:
 def raw_duration(t: Column) -> Column:
     """L3: the duration alone, censoring ignored."""
     return t.cast("double")
+
+
+def transition_key() -> Column:
+    """the key string of a transition, ``index_outcome``."""
+    return F.concat_ws("_", "index_event", "outcome_event")

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from eventsurv.functions.labels import raw_duration, signed_duration, signed_log_duration
+from eventsurv.functions.labels import raw_duration, signed_duration, signed_log_duration, transition_key
 from eventsurv.operators.capping import cap_diagnostics, cap_durations, capped_labels, exact_quantiles
 from eventsurv.operators.history import FEATURE_COLUMNS, event_features
 from eventsurv.operators.transitions import KEYS, survival_table, transition_counts
@@ -62,6 +62,16 @@ def q_transition_counts(spark, sf_dir):
     return transition_counts(labelled(spark, sf_dir, keep=[]))
 
 
+# --- F47: one string per transition ---------------------------------------------
+@query("transition_keys", with_all() + """
+SELECT index_event || '_' || outcome_event AS transition, split, count(*) AS n_rows
+FROM trans GROUP BY ALL""")
+def q_transition_keys(spark, sf_dir):
+    t = labelled(spark, sf_dir, keep=[])
+    return (t.groupBy(*KEYS, "split").agg(F.count(F.lit(1)).alias("n_rows"))
+            .select(transition_key().alias("transition"), "split", "n_rows"))
+
+
 # --- S3: expected (transition, side) grid with its row count -------------------
 @query("missing_transitions", with_all() + f"""
 , grid AS (
@@ -82,8 +92,8 @@ def q_missing_transitions(spark, sf_dir):
             .select("index_event", F.explode(F.array(*map(F.lit, OUTCOME_ACTIONS))).alias("outcome_event"))
             .where(F.col("index_event") != F.col("outcome_event"))
             .select(*KEYS, F.explode(F.array(F.lit("train"), F.lit("test"))).alias("split")))
-    # the grid is bounded by the fixed vocabulary (32 rows)
-    j = F.broadcast(grid).join(counts, [*KEYS, "split"], "left")
+    # grid and counts are bounded by the fixed vocabulary (32 rows)
+    j = grid.join(F.broadcast(counts), [*KEYS, "split"], "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     return j.select(*KEYS, "split", n.alias("n_rows"), (n == 0).alias("missing"))
 
