@@ -267,3 +267,25 @@ def test_compact_windows_of_texts_strung_together_cover_every_sub_sequence():
                 for b in range(a + width, end + 1):
                     low = x[a:b].min()
                     assert any(x[c] == low and c in spans and spans[c][0] <= a and spans[c][1] >= b - 1 for c in range(a, b))
+
+
+def test_passages_are_found_behind_earlier_documents_that_hold_a_part(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for g in range(30):
+        passage = words(rng, 60).split()
+        parts = [passage[:44], passage[16:], passage[8:52]]  # under 50 words each
+        for i, part in enumerate([*parts, passage, passage]):
+            rows.append((10 * g + i, " ".join([words(rng, 40), *part, words(rng, 40)])))
+        want.add((10 * g + 4, 10 * g + 3))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {(r["doc_id"], r["source_id"]) for r in got if r["start_word"] <= 40 and r["end_word"] >= 100}
+    assert want <= whole
+
+
+def test_run_hashes_tell_runs_and_their_order_apart():
+    s = np.random.default_rng(4).integers(0, 1 << 60, 50).astype(np.uint64)
+    for width in (1, 2, 5, 46):
+        h = substring_dedup.run_hashes(np.concatenate([s, s]), width)
+        assert len(h) == 101 - width and (h[:51 - width] == h[50:]).all() and len(set(h.tolist())) == 50
+        assert width == 1 or not set(h.tolist()) & set(substring_dedup.run_hashes(s[::-1], width).tolist())
