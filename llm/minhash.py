@@ -14,8 +14,9 @@ within the radius meets in a bucket.
 *Skew.*  Equal sets are collapsed first (one representative, the smallest
 doc_id).  Buckets of one row are dropped by a bitmap of fixed size before the
 exchange.  A bucket is compared in blocks of ``BLOCK`` signatures, in tasks,
-and gives a spanning forest, never its pairs; the blocks of a larger bucket
-are joined to its first member without a test (candidates only).  The
+and gives a spanning forest, never its pairs; every row of a larger bucket is
+joined to its first member without a test (candidates only), so that pairs
+dealt to different blocks meet in the exact step.  The
 components of that candidate graph are then confirmed on the full sets in
 blocks of ``BLOCK_DOCS`` documents.  A component of more than one block is
 dealt into random blocks twice; members that are still outside its largest
@@ -117,8 +118,8 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _bucket_links(batches):
     """Rows sorted by (key, block): a spanning forest of the pairs within the
-    radius in each block, and one link from each block of a larger bucket to
-    the bucket's first member."""
+    radius in each block, and a link from each row of a larger bucket to the
+    bucket's first member."""
     rest = None
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,9 +140,10 @@ def _bucket_links(batches):
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ii, jj))
         label = _forest(len(rep), i, j)
         moved = np.flatnonzero(label != np.arange(len(rep)))
-        first = np.flatnonzero(np.concatenate([[True], ~same]) & pdf["split"].to_numpy())
-        return pd.DataFrame({"a": np.concatenate([rep[moved], rep[first]]),
-                             "b": np.concatenate([rep[label[moved]], pdf["lead"].to_numpy()[first]])})
+        # of a tree, the root stands for the others
+        far = np.flatnonzero((label == np.arange(len(rep))) & pdf["split"].to_numpy())
+        return pd.DataFrame({"a": np.concatenate([rep[moved], rep[far]]),
+                             "b": np.concatenate([rep[label[moved]], pdf["lead"].to_numpy()[far]])})
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)

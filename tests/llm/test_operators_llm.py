@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -289,3 +290,12 @@ def test_run_hashes_tell_runs_and_their_order_apart():
         h = substring_dedup.run_hashes(np.concatenate([s, s]), width)
         assert len(h) == 101 - width and (h[:51 - width] == h[50:]).all() and len(set(h.tolist())) == 50
         assert width == 1 or not set(h.tolist()) & set(substring_dedup.run_hashes(s[::-1], width).tolist())
+
+
+def test_every_tree_of_a_split_bucket_is_linked_with_its_lead():
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 1 << 16, (6, 64)).astype(np.uint16)
+    sig[5], sig[2] = sig[1], sig[0]  # 1 and 5 are near but in different blocks, neither the first; 2 is near 0
+    rows = pd.DataFrame({"key": 7, "block": [0, 0, 0, 1, 1, 1], "split": True, "lead": 10, "rep": np.arange(10, 16), "sig": [x.tobytes() for x in sig]})
+    links = pd.concat(minhash._bucket_links(iter([rows])))
+    assert len(set(reach(6, [(a - 10, b - 10) for a, b in zip(links["a"], links["b"])]))) == 1
