@@ -1,9 +1,11 @@
 """Toxicity scores (operator 8).
 
 *Lexicon.*  Learned from the labelled training rows, each distinct text
-counted once: words in at least ``SUPPORT`` of the toxic texts whose smoothed
-share of toxic texts is ``PURITY`` or more, at most ``MAX_TERMS``, with their
-log odds as weight.
+counted once: all words in at least ``LEAST`` toxic texts, however many those
+are, whose smoothed share of toxic texts is ``PURITY`` or more and whose log
+odds, their weight, are above 0.  Words are counted and selected in Spark;
+the selected ones, all of them, are the model and go to the driver and to the
+workers.
 
 *Misspellings.*  The lexicon is a trie; its intersection with Levenshtein
 automata (no error under 5 letters, one error up to 8, two beyond) is
@@ -24,6 +26,7 @@ repeated rows are scored alike; further columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,12 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
-from llm.tables import bit_filter, small_batches
+from llm.tables import BITS, bit_filter, small_batches
 
-SUPPORT = 0.02
 LEAST = 3
 PURITY = 0.8
-MAX_TERMS = 2000
 CONTEXT = 6
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -185,6 +186,23 @@ def word_counts(texts: DataFrame, rows: DataFrame, keep) -> DataFrame:
             .agg(F.sum((F.col("toxic") == 0).cast("long")).alias("clean"), F.sum("toxic").cast("long").alias("toxic")))
 
 
+def word_filter(words: DataFrame):
+    """``keep`` for ``word_counts``: false only for words that are certainly
+    not in ``words``.  A bitmap of 1 MB whatever their number."""
+    p = F.crc32(F.col("word").cast("binary")) % BITS + 1
+    rows = words.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).collect()
+    held = bytearray(BITS // 8)
+    for r in rows:
+        at = (r["bucket"] - 1) * len(r["bits"])
+        held[at:at + len(r["bits"])] = r["bits"]
+    held = bytes(held)
+
+    def keep(word: str) -> bool:
+        c = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BITS
+        return bool(held[c >> 3] >> (c & 7) & 1)
+    return keep
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept comes last."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -212,13 +230,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     a_all, c_all = totals.get(1, 0), totals.get(0, 0)
     if not a_all:
         return None
-    # as many as the mean number of words in a toxic text over SUPPORT
-    often = word_counts(texts, first.where("toxic = 1"), lambda w: True).where(F.col("toxic") >= max(LEAST, SUPPORT * a_all))
-    often = {r["word"] for r in often.select("word").collect()}
-    counts = word_counts(texts, first, often.__contains__)
+    often = word_counts(texts, first.where("toxic = 1"), lambda w: True).where(F.col("toxic") >= LEAST).select("word", "toxic")
+    often = materialize(often, "toxic-words")
+    clean = word_counts(texts, first.where("toxic = 0"), word_filter(often)).select("word", "clean")
+    counts = often.join(clean, "word", "left").select("word", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (a_all - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (c_all - F.col("clean") + 0.5))
     ratio = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
-    chosen = counts.where(ratio >= PURITY).orderBy(F.desc(weight), "word").limit(MAX_TERMS).select("word", weight.alias("w")).collect()
+    chosen = counts.select("word", weight.alias("w")).where((ratio >= PURITY) & (weight > 0)).collect()  # the model
     terms = {r["word"]: float(r["w"]) for r in chosen}
     bare = Lexicon(terms, set())
     # clean words within reach of a term: as many as the lexicon's neighbourhood

@@ -299,3 +299,17 @@ def test_every_tree_of_a_split_bucket_is_linked_with_its_lead():
     rows = pd.DataFrame({"key": 7, "block": [0, 0, 0, 1, 1, 1], "split": True, "lead": 10, "rep": np.arange(10, 16), "sig": [x.tobytes() for x in sig]})
     links = pd.concat(minhash._bucket_links(iter([rows])))
     assert len(set(reach(6, [(a - 10, b - 10) for a, b in zip(links["a"], links["b"])]))) == 1
+
+
+def test_terms_of_few_toxic_texts_are_learned(spark):
+    rng = random.Random(21)
+    slurs = ["z" + "".join(rng.choices("ijklmnop", k=9)) for _ in range(100)]  # each in 1 % of the toxic texts
+    rows, i = [], 0
+    while len(rows) < 600:
+        i += 1
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            bad = len(rows) % 2
+            rows.append((i, words(rng, 20) + (" " + slurs[len(rows) // 2 % 100] if bad else ""), bad))
+    lexicon, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"),
+                                spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert set(slurs) <= set(lexicon.terms)
