@@ -5,12 +5,14 @@ all ways to cover it with pieces; a character without a piece is covered by
 its UTF-8 byte pieces.  N-best search: the forward Viterbi pass gives the best
 score from the start to every place; those scores are exact heuristics for an
 A-star search backward from the end, which therefore meets the segmentations
-in order of score and expands no node off an answer's path.
+in order of score.  No place is expanded more than N times: later ways from it
+to the end can't be in the N best, so memory and work follow the length.
 
 White space is U+2581 and pieces hold it at their start only, so the lattice
-falls apart at word boundaries: segments are searched once, kept in a bounded
-cache, and the best segmentations of the text are the best sums over its
-segments, found by the same best-first search over the segments' losses.
+falls apart at word boundaries: segments are searched once and whole, those of
+up to ``LONG`` characters are kept in a bounded cache, and the best
+segmentations of the text are the best sums over its segments, found by the
+same best-first search over the segments' losses.
 
 Decoding joins the pieces, turns U+2581 into spaces and drops the one space
 put before the text.  U+2581 itself in a text is covered by byte
@@ -112,9 +114,13 @@ class Pieces:
         into, best = self.lattice(s)
         push, pop = heapq.heappush, heapq.heappop
         out, order = [], 0
+        left = [n] * (len(s) + 1)
         heap = [(-best[len(s)], 0, len(s), 0.0, None)]
         while heap and len(out) < n:
             _, _, at, back, path = pop(heap)
+            if not left[at]:
+                continue
+            left[at] -= 1
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -130,19 +136,11 @@ class Pieces:
     def segment(self, s: str, n: int) -> Sequence[tuple[float, bytes, int]]:
         got = self.cache.get((s, n))
         if got is None:
-            if len(s) > LONG:  # one long segment: pieces of it in a row, each searched in full
-                parts = [self.segment(s[a:a + LONG], n) for a in range(0, len(s), LONG)]
-                got = []
-                for sc, moved in best_sums([[x[0] for x in p] for p in parts], n):
-                    took = [p[0] for p in parts]
-                    for i, k in moved:
-                        took[i] = parts[i][k]
-                    got.append((sc, b"".join([x[1] for x in took]), sum([x[2] for x in took])))
-            else:
-                got = tuple([(sc, array("I", ids).tobytes(), len(ids)) for sc, ids in self.nbest(s, n)])
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            self.cache[(s, n)] = got
+            got = tuple([(sc, array("I", ids).tobytes(), len(ids)) for sc, ids in self.nbest(s, n)])
+            if len(s) <= LONG:
+                if len(self.cache) > CACHE:
+                    self.cache.clear()
+                self.cache[(s, n)] = got
         return got
 
 

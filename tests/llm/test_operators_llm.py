@@ -313,3 +313,20 @@ def test_terms_of_few_toxic_texts_are_learned(spark):
     lexicon, _ = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"),
                                 spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
     assert set(slurs) <= set(lexicon.terms)
+
+
+def test_long_segments_are_searched_whole():
+    p = sentencepiece_nbest.pieces_of(SP)
+
+    def best_of(s, n):
+        into = p.edges(s)
+        ways = {0: [0.0]}
+        for b in range(1, len(s) + 1):
+            ways[b] = sorted((x + sc for a, sc, _ in into[b] for x in ways[a]), reverse=True)[:n]
+        return ways[len(s)]
+    rng = random.Random(3)
+    for text in ("the" * 400, "".join(rng.choices("etaoinshr", k=3000)), "information" * 60, "a" * 2000, "one\ntwo\t" * 200):
+        got = sentencepiece_nbest.encode(text, SP, 5)
+        assert [x for x, _ in got] == pytest.approx(best_of("▁" + text, 5))
+        assert all(sentencepiece_nbest.decode(ids, SP) == text for _, ids in got)
+        assert len({ids.tobytes() for _, ids in got}) == 5
