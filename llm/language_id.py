@@ -4,11 +4,12 @@ Features are hashed character 1- to 3-grams of the lower-cased text, other
 characters than letters counted as one space; weights are TF-IDF, scaled to
 unit length.  The document frequencies cover every training document.  The
 classifier is a multinomial logistic regression trained by follow the
-regularised leader (FTRL-proximal) with L1 and L2 penalties, on a bounded
-sample: at most ``MAX_LANGS`` most frequent languages and ``SAMPLE`` labelled
-rows in all, shared out equally, the rows with the smallest hash of (text,
-doc_id).  A temperature fitted on rows left out of training calibrates the
-probabilities.  Prediction reads whole texts and nothing else.
+regularised leader (FTRL-proximal) with L1 and L2 penalties, on a sample of
+``SAMPLE`` labelled rows shared out equally over all languages, but not less
+than ``SHARE`` rows (or all there are) of each: the rows with the smallest hash
+of (text, doc_id).  The model holds ``DIM`` weights a language.  A temperature
+fitted on rows left out of training calibrates the probabilities.  Prediction
+reads whole texts and nothing else.
 
 Defined cases: null texts and texts without a letter are ``und`` with score
 0; rows with a null ``lang`` don't train; without any training row every
@@ -30,7 +31,7 @@ from llm.tables import hide_extra, small_batches
 DIM_BITS = 13
 DIM = 1 << DIM_BITS
 SAMPLE = 3000
-MAX_LANGS = 64
+SHARE = 46
 SLICE = 1 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
@@ -134,12 +135,12 @@ def _fit(idf: np.ndarray, langs: list[str]):
     return run
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) -> dict | None:
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """A model from ``text`` and ``lang`` of ``docs`` (rows without a label
     are ignored); None without any."""
     small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("text", "lang", F.shiftrightunsigned(F.xxhash64("text", "doc_id"), 24).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()  # the classes of the model
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
@@ -147,12 +148,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) ->
     for r in rows.select("text").mapInPandas(_document_frequencies, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
         df[r["gram"]] = r["df"]
     idf = np.log((1.0 + df[DIM]) / (1.0 + df[:DIM])) + 1.0
-    share = max(1, sample // len(langs))
-    keep = F.lit(False)
-    for r in counts:  # about twice the share by hash, then exactly the share
-        bound = int(min(1.0, (2.0 * share + 50.0) / r["count"]) * 2 ** 40)
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("h") <= bound))
-    picked = (rows.where(keep).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    share = max(SHARE, sample // len(langs))
+    # about twice the share by hash, then exactly the share
+    bounds = docs.sparkSession.createDataFrame(
+        [(r["lang"], int(min(1.0, (2.0 * share + 50.0) / r["count"]) * 2 ** 40)) for r in counts], "lang string, _bound long")
+    picked = (rows.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("_bound")).drop("_bound")
+              .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
               .where(F.col("_n") <= share).drop("_n"))
     fitted = picked.groupBy(F.lit(1).alias("one")).applyInPandas(_fit(idf, langs), "model binary").collect()
     w, t = pickle.loads(fitted[0]["model"])

@@ -330,3 +330,9 @@ def test_long_segments_are_searched_whole():
         assert [x for x, _ in got] == pytest.approx(best_of("▁" + text, 5))
         assert all(sentencepiece_nbest.decode(ids, SP) == text for _, ids in got)
         assert len({ids.tobytes() for _, ids in got}) == 5
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(10 * k + i, f"{chr(0x4E00 + 3 * k) * 3} {chr(0x4E01 + 3 * k) * 4}", f"l{k:02}") for k in range(70) for i in range(4)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["langs"] == sorted({r[2] for r in rows}) and model["w"].shape[1] == 70
