@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import exact_dedup as exact
-from llm import chat, embedding_dedup, language_id, minhash, packing, sentencepiece_nbest, sharding, toxicity
+from llm import chat, conversation_repair, embedding_dedup, language_id, minhash, packing, sentencepiece_nbest, sharding, spelling, top_k, toxicity
 from llm import substring_dedup as passages
 from llm.tables import table
 
@@ -105,3 +105,105 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.nbest_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_topk", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) IS NOT false),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+_CRC_SQL = r"""tab AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM range(256) r(i))"""
+
+
+def _crc(x: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``x`` by the table ``tab.t``."""
+    digits = f"list_transform(range(strlen({x})), lambda j: CAST('0x' || substr(hex({x}), CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(4294967295::BIGINT, list_reduce({digits}, lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+@query("op13_spelling", rf"""
+WITH RECURSIVE {_CRC_SQL},
+occ AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM occ GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM low, tab WHERE length(run) >= 5),
+named AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM named WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole
+         FROM words, range(1, 200) r(i) WHERE i <= length(word)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.hole = b.hole AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.less = b.word
+          UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.less = b.word),
+near AS (SELECT word, count(*) AS n_near, max(m) AS m, min(struct_pack(k := -m, w := other)).w AS near FROM pairs GROUP BY word),
+forms AS (SELECT words.*, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+          FROM words LEFT JOIN near USING (word)),
+chase AS (SELECT word, word AS root FROM words UNION ALL SELECT c.word, f.form FROM chase c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chase c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), plant=True)
+
+
+def _repair_sql() -> str:
+    """A row-by-row recursion over the four states in place of spans."""
+    def step(p: int, cost: str, letter: str, line: str) -> str:
+        return (f"CASE WHEN st[{p}] IS NOT NULL THEN {{'c': st[{p}].c + {cost}, 'a': st[{p}].a || '{letter}', 't': st[{p}].t || {line}}} END")
+
+    def least(*options: str) -> str:
+        return "list_min([" + ", ".join(options) + "])"
+
+    def kept(p: int, initial: str, role: str) -> str:
+        keep = f"CASE WHEN fault IN (0, 3) AND initial = '{initial}' THEN {step(p, 'late', 'K', 'line')} END"
+        if initial == "s":
+            return keep
+        return keep + f", CASE WHEN fault IN (0, 3) THEN {step(p, '1 + late', 'R', f"chr(10) || '{role}:' || text")} END"
+
+    gone = {q: step(q, "2", "D", "''") for q in (1, 2, 3, 4)}
+    moved = (f"[{gone[1]}, {least(gone[2], kept(1, 's', 'system'))}, "
+             f"{least(gone[3], *[kept(p, 'u', 'user') for p in (1, 2, 4)])}, {least(gone[4], kept(3, 'a', 'assistant'))}]")
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    to_user = least("st[3]", *[step(p, "5", "I", user) for p in (1, 2, 4)])
+    closed_user = f"[st[1], st[2], {to_user}, st[4]]"
+    closed = f"[st[1], st[2], st[3], {least('st[4]', step(3, '5', 'I', assistant))}]"
+    return rf"""
+WITH RECURSIVE {_CRC_SQL},
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hit AS (SELECT src.*, {_crc("key")} % 20 AS kind FROM src, tab),
+dmg AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE kind <> 0),
+ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+num AS (SELECT k, turn, role, text, substr(role, 1, 1) AS initial,
+               row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i,
+               lag(substr(role, 1, 1)) OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS before
+        FROM dmg JOIN ids ON ids.conv_id IS NOT DISTINCT FROM dmg.conv_id),
+flt AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+                       WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+                       WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM num),
+fed AS (SELECT *, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS late, chr(10) || role || ':' || text AS line FROM flt),
+walk AS (
+  SELECT k, 0::BIGINT AS i, [{{'c': 0, 'a': '', 't': ''}}, NULL, {{'c': 5, 'a': 'I', 't': {user}}}, {{'c': 10, 'a': 'II', 't': {user} || {assistant}}}] AS st FROM ids
+  UNION ALL
+  SELECT k, i, {closed} FROM (SELECT k, i, {closed_user} AS st FROM (
+    SELECT k, fed.i, {moved} AS st FROM walk JOIN fed USING (k) WHERE fed.i = walk.i + 1))),
+done AS (SELECT k, list_min([st[1], st[4]]) AS e FROM (SELECT k, max_by(st, i) AS st FROM walk GROUP BY k)),
+stats AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, sum((fault = 1)::INT) AS blank, sum((fault = 2)::INT) AS duplicate,
+                 sum((fault = 3)::INT) AS truncated, sum((before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM fed GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, e.c::BIGINT AS cost, e.a AS audit, sha256(substr(e.t, 2)) AS repaired_sha256
+FROM ids JOIN done USING (k) LEFT JOIN stats USING (k)"""
+
+
+@query("op11_repair", _repair_sql())
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
