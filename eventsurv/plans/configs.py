@@ -78,6 +78,26 @@ RUN_GRID = [
 ]
 # Five-model blend weights (E1); they sum to 1.05 and are renormalised.
 BLEND_WEIGHTS = [0.5, 0.2, 0.15, 0.1, 0.1]
+# The five models of that blend, 500 rounds each: (max_depth, eta, subsample,
+# colsample_bytree, min_child_weight, lambda, alpha, gamma, seed)
+FIVE_MODELS = [
+    (5, 0.05, 0.8, 0.8, 5, 3.0, 0.5, 0.0, 42),
+    (6, 0.03, 0.85, 0.75, 4, 2.0, 0.3, 0.0, 123),
+    (7, 0.08, 0.9, 0.9, 3, 1.0, 0.1, 0.0, 456),
+    (4, 0.02, 0.75, 0.85, 6, 4.0, 0.7, 0.0, 789),
+    (5, 0.06, 0.82, 0.82, 4, 2.5, 0.4, 0.0, 101112),
+]
+FIVE_ROUNDS = 500
+# One booster of the variant grid (M18), rounds and eta from the grid.
+GRID_PARAMS = (6, 0.03, 0.85, 0.85, 3, 2.0, 0.3, 0.1, 42)
+# Two-stage selection (M16): columns kept, rounds of either stage.
+SELECT_TOP_N, SELECT_ROUNDS = 40, 500
+# Patience of early stopping (M13): on a tenth of the rows.
+PATIENCE, HOLD_OUT = 100, 0.1
+# Boosted squared loss.
+L2_PARAMS = {"max_depth": 3, "eta": 0.001, "colsample": 0.8, "lam": 1.0, "alpha": 1.0, "min_leaf": 20, "gamma": 0.1, "seed": 42,
+             "min_child_weight": 0.001}
+L2_ROUNDS = 500
 # ---------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ from eventsurv.operators.survival import (cox_fit_table, cox_gradients, cox_logl
 from eventsurv.operators.transitions import KEYS
 from eventsurv.plans.catalog import query, rounded
 from eventsurv.plans.q_labels import labelled
-from eventsurv.plans.q_preprocess import transf
+from eventsurv.plans.q_preprocess import NUMERIC, transf
 from eventsurv.plans.sqlbase import with_all
 from eventsurv.operators.boosting import best_first_split, equal_width_bins
 from eventsurv.sources.sinks import prediction_table
@@ -179,14 +179,14 @@ def q_prediction_table(spark, sf_dir):
 
 
 # --- M11: histogram and best root split at margin 0 (oracle) -----------------------------
-SPLIT_COLUMNS = ["userActiveDaysWeekly", "userActiveDaysMonthly", "logAmount", "marketBorrowCount"]
+SPLIT_COLUMNS = sorted(NUMERIC)
 SPLIT_BINS, SPLIT_LAMBDA = 32, 1.0
 
 
 def _split_sql() -> str:
     vals = " UNION ALL ".join(f"SELECT index_event, outcome_event, row_id, g, h, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM gh"
                               for c in SPLIT_COLUMNS)
-    return _RISK_SQL + f""",
+    return _RISK_SQL.replace("SELECT * FROM trans WHERE split", "SELECT * FROM transf WHERE split") + f""",
 gh AS (SELECT tr.*, ab.A - tr.status AS g, ab.A - ab.B AS h
        FROM tr JOIN ab ON ab.index_event = tr.index_event AND ab.outcome_event = tr.outcome_event AND ab.t = tr.timeDiff),
 lng AS ({vals}),
@@ -208,9 +208,9 @@ SELECT {K}, feature, bin, round(gain, 6) + 0.0 AS gain FROM best WHERE rk = 1"""
 @query("boost_first_split", _split_sql())
 def q_boost_first_split(spark, sf_dir):
     """Histogram of g, h at margin 0 over 32 equal-width bins and the
-    best root split per transition (lambda 1, alpha 0, gamma 0, min child weight 1)."""
-    t = labelled(spark, sf_dir).where(F.col("split") == "train")
-    g = cox_gradients(t.select(*KEYS, "row_id", "timeDiff", "status", *SPLIT_COLUMNS), F.lit(0.0))
+    best root split per transition over all columns (lambda 1, alpha 0, gamma 0, min child weight 1)."""
+    t = transf(spark, sf_dir).where(F.col("split") == "train")
+    g = cox_gradients(t.select(*KEYS, "row_id", "timeDiff", "status"), F.lit(0.0))
     rows = g.join(t.select(*KEYS, "row_id", *SPLIT_COLUMNS), [*KEYS, "row_id"], "inner")
     best = best_first_split(equal_width_bins(rows, SPLIT_COLUMNS, SPLIT_BINS), lam=SPLIT_LAMBDA)
     return rounded(best)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,49 @@ def materialize_once(spark: SparkSession, key: tuple, build) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
         _CACHE[full] = path
     return spark.read.parquet(path)
+
+
+class Scratch:
+    """Tables of one long job: written to the checkpoint folder, dropped as
+    soon as nothing reads them any more (all of them at the end of a ``with``)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{table_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                jvm = self.spark._jvm
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def close(self) -> None:
+        self.drop(*[t for t, _ in list(self.paths.values())])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    @contextmanager
+    def arrow(self, rows: int, size: str) -> Iterator[None]:
+        """Arrow batches of bounded rows and bytes for the jobs run inside."""
+        names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+        before = {n: self.spark.conf.get(n, None) for n in names}
+        for n, v in names.items():
+            self.spark.conf.set(n, v)
+        try:
+            yield
+        finally:
+            for n, v in before.items():
+                self.spark.conf.unset(n) if v is None else self.spark.conf.set(n, v)
