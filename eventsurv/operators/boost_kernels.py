@@ -93,16 +93,12 @@ class State:
     round: int = 0
 
 
-class Block:
-    def __init__(self, row: dict, features: int):
-        self.group, self.part, self.place, self.n = row["grp"], row["part"], row["place"], row["n"]
-        self.t = np.frombuffer(row["t"], np.float64)
-        self.d = np.frombuffer(row["d"], np.int8)
-        self.y = np.frombuffer(row["y"], np.float64)
-        self.row_id = np.frombuffer(row["row_id"], np.int64)
-        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(features, self.n)
-        self._margin = np.frombuffer(row["margin"], np.float64).reshape(-1, self.n)
-        change = np.flatnonzero(np.diff(self.t)) + 1
+class Timed:
+    """Rows in descending order of time and their ties."""
+
+    def __init__(self, t: np.ndarray):
+        self.t, self.n = t, len(t)
+        change = np.flatnonzero(np.diff(t)) + 1
         starts = np.concatenate([[0], change])
         ends = np.concatenate([change, [self.n]]) - 1
         tie = np.zeros(self.n, np.int64)
@@ -111,46 +107,61 @@ class Block:
         self.start, self.end = starts[tie], ends[tie]
         self.one_time = len(starts) == 1
 
-    def margin(self, run: Run, state: State) -> np.ndarray:
-        m = self._margin[run.slot]
-        for tree in state.trees.get(run.run, []):
-            m = m + tree.predict(self.bins)
-        return m
-
-    def head(self, x: np.ndarray) -> float:
+    def head(self, x: np.ndarray):
         """Sum over the rows of the block's first time."""
-        return float(x[:self.end[0] + 1].sum())
+        return x[..., :self.end[0] + 1].sum(axis=-1)
 
-    def tail(self, x: np.ndarray) -> float:
-        return float(x[self.start[-1]:].sum())
+    def tail(self, x: np.ndarray):
+        return x[..., self.start[-1]:].sum(axis=-1)
 
-    def _offset(self, offsets: dict, run: Run) -> np.ndarray:
-        places, values = offsets[run.run, self.part]
-        return values[np.searchsorted(places, self.place)]
+    def from_later(self, x: np.ndarray, before, more) -> np.ndarray:
+        """Sum of ``x`` over all rows with the same or a later time: ``before``
+        of earlier blocks, ``more`` of later blocks at this block's last time."""
+        out = (np.cumsum(x, axis=-1)[..., self.end].T + before).T
+        out[..., self.start[-1]:] += np.asarray(more)[..., None] if np.ndim(more) else more
+        return out
 
-    def risk(self, w: np.ndarray, run: Run, state: State) -> np.ndarray:
-        """S0 of every row: the weight of all rows of the part with the same or a later time."""
-        before, more = self._offset(state.weight_offsets, run)
-        s0 = before + np.cumsum(w)[self.end]
-        s0[self.start[-1]:] += more
-        return s0
-
-    def up_to(self, x: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Sum of ``x`` over all rows of the part with the same or an earlier time."""
-        after, more = offset
+    def up_to(self, x: np.ndarray, after: float, more: float) -> np.ndarray:
+        """Sum of ``x`` over all rows with the same or an earlier time."""
         out = after + np.cumsum(x[::-1])[::-1][self.start]
         out[:self.end[0] + 1] += more
         return out
 
+
+def at_place(offsets: tuple[np.ndarray, np.ndarray], place: int) -> np.ndarray:
+    places, values = offsets
+    return values[np.searchsorted(places, place)]
+
+
+class Block(Timed):
+    def __init__(self, row: dict, features: int):
+        super().__init__(np.frombuffer(row["t"], np.float64))
+        self.group, self.part, self.place = row["grp"], row["part"], row["place"]
+        self.d = np.frombuffer(row["d"], np.int8)
+        self.y = np.frombuffer(row["y"], np.float64)
+        self.row_id = np.frombuffer(row["row_id"], np.int64)
+        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(features, self.n)
+        self._margin = np.frombuffer(row["margin"], np.float64).reshape(-1, self.n)
+
+    def margin(self, run: Run, state: State) -> np.ndarray:
+        m = self._margin[run.slot]
+        for tree in state.trees.get(run.run, []):
+            m = m + tree.predict(self.bins)
+        return m
+
+    def risk(self, w: np.ndarray, run: Run, state: State) -> np.ndarray:
+        """S0 of every row."""
+        return self.from_later(w, *at_place(state.weight_offsets[run.run, self.part], self.place))
+
     def gradients(self, run: Run, state: State) -> tuple[np.ndarray, np.ndarray]:
         m = self.margin(run, state)
         if run.objective == "l2":
             return m - self.y, np.ones(self.n)
         w = np.exp(m)
         s0 = self.risk(w, run, state)
-        off = self._offset(state.hazard_offsets, run)
-        a = self.up_to(self.d / s0, off[:2])
-        b = self.up_to(self.d / (s0 * s0), off[2:])
+        off = at_place(state.hazard_offsets[run.run, self.part], self.place)
+        a = self.up_to(self.d / s0, *off[:2])
+        b = self.up_to(self.d / (s0 * s0), *off[2:])
         return w * a - self.d, w * a - w * w * b
 
 

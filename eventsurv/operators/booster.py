@@ -258,7 +258,7 @@ def _block_sums(state: State, features: int, hazards: bool):
                         s0 = block.risk(w, r, state)
                         x = [block.d / s0, block.d / (s0 * s0)]
                         loss, events = float((block.d * (np.log(s0) - m)).sum()), float(block.d.sum())
-                    v = [(float(a.sum()), block.head(a), block.tail(a)) if len(a) else (0.0, 0.0, 0.0) for a in x] + [(0.0, 0.0, 0.0)] * 2
+                    v = [(float(a.sum()), float(block.head(a)), float(block.tail(a))) if len(a) else (0.0, 0.0, 0.0) for a in x] + [(0.0, 0.0, 0.0)] * 2
                 out.append({"run": r.run, "part": block.part, "place": block.place, "head_t": float(block.t[0]), "tail_t": float(block.t[-1]),
                             "one": block.one_time, "v0": v[0][0], "h0": v[0][1], "l0": v[0][2], "v1": v[1][0], "h1": v[1][1], "l1": v[1][2],
                             "loss": loss, "events": events})

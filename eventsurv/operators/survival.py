@@ -1,29 +1,20 @@
-"""Survival estimators (M1-M9) for all transitions at once.
+"""Cox partial likelihood and gradients of given rows (M1 at a point, M11).
 
-Cox proportional hazards (M1, M2, M3, M7)
-    Objective per transition: mean Breslow partial log-likelihood minus
-    ``penalizer / 2 * |beta|^2``.  Newton iterations run on the driver; each
-    iteration is one Spark pass that returns, per transition, the
-    log-likelihood, gradient and Hessian (p + p^2 numbers).  The risk-set
-    sums S0(t) = sum_{t_j >= t} w_j, S1(t) and A(t) = sum_{s <= t} d_s / S0(s)
-    are ordered running sums over the distinct times, computed with the
-    range-partitioned scan (no single-task window).  With A(t):
+One Spark pass returns, per transition, the log-likelihood, gradient and
+Hessian (p + p^2 numbers) at given coefficients.  The risk-set
+sums S0(t) = sum_{t_j >= t} w_j, S1(t) and A(t) = sum_{s <= t} d_s / S0(s)
+are ordered running sums over the distinct times, computed with the
+range-partitioned scan (no single-task window).  With A(t):
 
         gradient = sum d_i x_i - sum_j w_j A(t_j) x_j
         hessian  = -(sum_j w_j A(t_j) x_j x_j' - sum_t D_t S1 S1' / S0^2)
 
-Gradients of the Cox loss for boosting (M11) use the same sums with
-``B(t) = sum_{s <= t} d_s / S0(s)^2``.
-
-Weibull AFT (M4, M5) and elastic-net regression (M9) use Spark ML
-estimators, one distributed fit per transition.
+Gradients of the Cox loss (M11) use the same sums with ``B(t) = sum_{s <= t}
+d_s / S0(s)^2``.  The fitted models are in ``linear_models`` and ``booster``.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,125 +89,6 @@ def cox_pass(df: DataFrame, cols: list[str], coefs: DataFrame, keys=KEYS, time="
     return out
 
 
-@dataclass
-class CoxResult:
-    keys: list[str]
-    cols: list[str]
-    coef: dict          # transition -> np.ndarray
-    stats: dict         # transition -> dict(loglik, n, n_events, iterations, converged, penalizer, cov)
-
-
-def fit_cox(df: DataFrame, cols: list[str], penalizer: float = 0.1, keys=KEYS, max_iter: int = 20,
-            tol: float = 1e-7, step: float = 1.0, fallback: tuple[float, float] | None = (1.0, 0.1)) -> CoxResult:
-    """M1 (+ M2): Newton's method on the penalised mean partial likelihood,
-    every transition in the same passes.  A transition that does not
-    converge is refitted with ``fallback = (penalizer, step)``."""
-    spark = df.sparkSession
-    p = len(cols)
-    trans = [tuple(r[k] for k in keys) for r in df.select(*keys).distinct().collect()]
-    beta = {k: np.zeros(p) for k in trans}
-    pen = {k: penalizer for k in trans}
-    stp = {k: step for k in trans}
-    done = {k: False for k in trans}
-    last = {}
-    it = {k: 0 for k in trans}
-    for _ in range(max_iter):
-        active = [k for k in trans if not done[k]]
-        if not active:
-            break
-        coefs = _coef_table(spark, trans, beta, p, keys)
-        res = cox_pass(df, cols, coefs, keys)
-        for k in active:
-            if k not in res:
-                done[k] = True
-                continue
-            r = res[k]
-            n = max(r["n"], 1)
-            g = r["grad"] / n - pen[k] * beta[k]
-            h = r["hess"] / n - pen[k] * np.eye(p)
-            last[k] = (r, g, h)
-            try:
-                delta = np.linalg.solve(h, g)
-            except np.linalg.LinAlgError:
-                delta = -g
-            if not np.all(np.isfinite(delta)):
-                done[k] = True
-                continue
-            beta[k] = beta[k] - stp[k] * delta
-            it[k] += 1
-            if np.max(np.abs(delta)) < tol or np.linalg.norm(g) < tol:
-                done[k] = True
-    converged = {k: bool(k in last and np.all(np.isfinite(beta[k])) and np.linalg.norm(last[k][1]) < 1e-4) for k in trans}
-    if fallback is not None:
-        redo = [k for k in trans if not converged[k]]
-        if redo:
-            sub = df.join(F.broadcast(spark.createDataFrame(redo, ", ".join(f"{k} string" for k in keys))), keys, "left_semi")
-            alt = fit_cox(sub, cols, fallback[0], keys, max_iter, tol, fallback[1], None)
-            for k in redo:
-                if k in alt.coef:
-                    beta[k] = alt.coef[k]
-                    last[k] = None
-                    converged[k] = alt.stats[k]["converged"]
-                    pen[k] = fallback[0]
-    # final statistics at the optimum
-    coefs = _coef_table(spark, trans, beta, p, keys)
-    res = cox_pass(df, cols, coefs, keys)
-    stats = {}
-    for k in trans:
-        if k not in res:
-            continue
-        r = res[k]
-        n = max(r["n"], 1)
-        h = r["hess"] / n - pen[k] * np.eye(p)
-        try:
-            cov = np.linalg.inv(-h) / n
-        except np.linalg.LinAlgError:
-            cov = np.full((p, p), np.nan)
-        stats[k] = {"loglik": r["loglik"], "n": r["n"], "n_events": r["n_events"], "iterations": it[k],
-                    "converged": converged[k], "penalizer": pen[k], "cov": cov,
-                    "grad_norm": float(np.linalg.norm(r["grad"] / n - pen[k] * beta[k]))}
-    return CoxResult(list(keys), list(cols), beta, stats)
-
-
-def cox_summary(res: CoxResult, spark) -> DataFrame:
-    """M7: ``(keys, covariate, coef, exp_coef, se, z, p)`` with Wald p-values."""
-    rows = []
-    for k, b in res.coef.items():
-        st = res.stats.get(k)
-        if st is None:
-            continue
-        for i, c in enumerate(res.cols):
-            se = float(math.sqrt(st["cov"][i, i])) if st["cov"][i, i] > 0 else float("nan")
-            z = float(b[i] / se) if se and se == se else float("nan")
-            pv = float(math.erfc(abs(z) / math.sqrt(2))) if z == z else float("nan")
-            rows.append((*k, c, float(b[i]), float(math.exp(b[i])), se, z, pv))
-    schema = ", ".join([f"{k} string" for k in res.keys]
-                       + ["covariate string", "coef double", "exp_coef double", "se double", "z double", "p double"])
-    return spark.createDataFrame(rows, schema)
-
-
-def cox_fit_table(res: CoxResult, spark) -> DataFrame:
-    """Per transition: log-likelihood, iterations, convergence, penalizer."""
-    rows = [(*k, float(s["loglik"]), int(s["n"]), int(s["n_events"]), int(s["iterations"]), bool(s["converged"]),
-             float(s["penalizer"]), float(s["grad_norm"])) for k, s in res.stats.items()]
-    schema = ", ".join([f"{k} string" for k in res.keys]
-                       + ["loglik double", "n long", "n_events long", "iterations int", "converged boolean",
-                          "penalizer double", "grad_norm double"])
-    return spark.createDataFrame(rows, schema)
-
-
-def coef_columns(res: CoxResult, spark) -> DataFrame:
-    """Coefficients as one row per transition (``_b_0 .. _b_{p-1}``)."""
-    return _coef_table(spark, list(res.coef), res.coef, len(res.cols), res.keys)
-
-
-def partial_hazard_score(df: DataFrame, res: CoxResult) -> DataFrame:
-    """M3: ``score = -exp(x beta)`` (higher = lasts longer), per row."""
-    coefs = coef_columns(res, df.sparkSession)
-    j = df.join(F.broadcast(coefs), res.keys, "inner")
-    return j.select(*df.columns, (-F.exp(_dot(res.cols))).alias("score"))
-
-
 def cox_gradients(df: DataFrame, margin: Column, keys=KEYS, time="timeDiff", event="status") -> DataFrame:
     """Per row ``g = w A(t) - d`` and ``h = w A(t) - w^2 B(t)`` of the
     Cox loss at the given margin (w = exp(margin))."""
@@ -238,58 +110,3 @@ def cox_loglik_at(df: DataFrame, cols: list[str], betas: dict, keys=KEYS) -> dic
     trans = list(betas)
     res = cox_pass(df, cols, _coef_table(spark, trans, betas, len(cols), keys), keys)
     return {k: v["loglik"] for k, v in res.items()}
-
-
-# ---------------------------------------------------------------------------
-# Spark ML estimators, one distributed fit per transition
-# ---------------------------------------------------------------------------
-
-def _assemble(df: DataFrame, cols: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(
-        df.na.fill(0.0, subset=cols))
-
-
-def fit_weibull_aft(df: DataFrame, cols: list[str], keys=KEYS, time="timeDiff", event="status") -> DataFrame:
-    """M4/M5: Weibull AFT per transition (rows with t > 0, as the original);
-    returns ``(keys, covariate, coef)`` including ``Intercept`` and ``log_scale``."""
-    from pyspark.ml.regression import AFTSurvivalRegression
-    spark = df.sparkSession
-    data = _assemble(df.where(F.col(time) > 0), cols).select(*keys, "features", F.col(time).alias("label"),
-                                                              F.col(event).cast("double").alias("censor"))
-    trans = [tuple(r[k] for k in keys) for r in data.select(*keys).distinct().collect()]
-    rows = []
-    for k in sorted(trans):
-        cond = F.lit(True)
-        for name, v in zip(keys, k):
-            cond = cond & (F.col(name) == v)
-        m = AFTSurvivalRegression(censorCol="censor", maxIter=100).fit(data.where(cond))
-        rows += [(*k, c, float(b)) for c, b in zip(cols, m.coefficients.toArray())]
-        rows += [(*k, "Intercept", float(m.intercept)), (*k, "log_scale", float(math.log(m.scale)))]
-    return spark.createDataFrame(rows, ", ".join([f"{k} string" for k in keys] + ["covariate string", "coef double"]))
-
-
-def fit_elastic_net(df: DataFrame, cols: list[str], label: Column, alpha: float = 0.1, l1_ratio: float = 0.5,
-                    keys=KEYS) -> DataFrame:
-    """M9: minimises 1/(2n)|y - Xw - b|^2 + a|w|_1 + b/2 |w|^2 with
-    a = alpha * l1_ratio and b = alpha * (1 - l1_ratio).  Spark's
-    ``LinearRegression`` divides the L2 part by the label's population std,
-    so the parameters are rescaled per transition (§4.4)."""
-    from pyspark.ml.regression import LinearRegression
-    spark = df.sparkSession
-    data = _assemble(df.select("*", label.alias("label")), cols).select(*keys, "features", "label")
-    sd = {tuple(r[k] for k in keys): r["sd"] for r in
-          data.groupBy(*keys).agg(F.stddev_pop("label").alias("sd")).collect()}
-    a, b = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    rows = []
-    for k in sorted(sd):
-        cond = F.lit(True)
-        for name, v in zip(keys, k):
-            cond = cond & (F.col(name) == v)
-        reg = a + b * (sd[k] or 0.0)
-        en = a / reg if reg > 0 else 0.0
-        m = LinearRegression(regParam=reg, elasticNetParam=en, standardization=False, maxIter=200, tol=1e-10,
-                             solver="normal" if en == 0 else "auto").fit(data.where(cond))
-        rows += [(*k, c, float(w)) for c, w in zip(cols, m.coefficients.toArray())]
-        rows.append((*k, "Intercept", float(m.intercept)))
-    return spark.createDataFrame(rows, ", ".join([f"{k} string" for k in keys] + ["covariate string", "coef double"]))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventsurv.sources.materialize import source_key
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -26,6 +28,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_MODELS: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """A trained model (model-sized, on the driver) per input, kept for the
+    session: several queries report on the same training."""
+    key = (spark.sparkContext.applicationId, source_key(f"{sf_dir}/events.parquet"), name)
+    if key not in _MODELS:
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
 def rounded(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> DataFrame:
     """Round double columns (all, or ``only``) and turn -0.0 into 0.0.
 

@@ -23,10 +23,10 @@ from eventsurv.operators.survival import cox_gradients
 from eventsurv.operators.survival_ensemble import SurvivalEnsemble, train_ensemble_models, variant_runs
 from eventsurv.operators.transitions import KEYS
 from eventsurv.plans import configs as C
-from eventsurv.plans.catalog import query, rounded
+from eventsurv.plans.catalog import once, query, rounded
 from eventsurv.plans.q_models import _RISK_SQL
 from eventsurv.plans.q_preprocess import NUMERIC, transf
-from eventsurv.sources.materialize import Scratch, source_key
+from eventsurv.sources.materialize import Scratch
 from eventsurv.sources.events import load_events, transition_pairs
 
 K = ", ".join(KEYS)
@@ -38,24 +38,12 @@ def _split(spark, sf_dir, split):
     return transf(spark, sf_dir).where(F.col("split") == split).select(*KEYS, "row_id", "timeDiff", "status", *NUMERIC)
 
 
-_MODELS: dict[tuple, object] = {}
-
-
-def _once(spark, sf_dir, name, build):
-    """A trained model (model-sized, on the driver) per input, kept for the
-    session: several queries report on the same training."""
-    key = (spark.sparkContext.applicationId, source_key(f"{sf_dir}/events.parquet"), name)
-    if key not in _MODELS:
-        _MODELS[key] = build()
-    return _MODELS[key]
-
-
 def _first_tree(spark, sf_dir):
     def build():
         with Scratch(spark) as scratch:
             b = prepare(_split(spark, sf_dir, "train"), NUMERIC, scratch=scratch)
             return train(b, [Run(0, g, 0, rounds=1, **TREE) for g in range(len(b.groups))])
-    return _once(spark, sf_dir, "first_tree", build)
+    return once(spark, sf_dir, "first_tree", build)
 
 
 def _boosted(spark, sf_dir):
@@ -66,7 +54,7 @@ def _boosted(spark, sf_dir):
             b = prepare(_split(spark, sf_dir, "train"), NUMERIC, scratch=scratch,
                         expected=[(r[0], r[1]) for r in pairs.select(*KEYS).collect()])
             return train(b, runs_from_table(C.params_with_default(pairs), b, rounds=QUERY_ROUNDS))
-    return _once(spark, sf_dir, "boosted", build)
+    return once(spark, sf_dir, "boosted", build)
 
 
 # --- M11: the first tree and the gradients after it (oracle) ------------------------
@@ -199,7 +187,7 @@ def q_early_stop(spark, sf_dir):
             held = unit_hash(F.col("row_id"), 2025) < C.HOLD_OUT
             b = prepare(_split(spark, sf_dir, "train"), NUMERIC, valid=held, scratch=scratch)
             return train(b, [Run(0, g, 0, rounds=QUERY_ROUNDS, max_depth=4, eta=0.5, lam=1.0, patience=2) for g in range(len(b.groups))])
-    m = _once(spark, sf_dir, "early_stop", build)
+    m = once(spark, sf_dir, "early_stop", build)
     return rounded(m.trace_table(spark).join(F.broadcast(m.status_table(spark).select(*KEYS, "best_round")), KEYS))
 
 
@@ -215,7 +203,7 @@ def q_two_stage_selection(spark, sf_dir):
                     for g in range(len(b.groups))]
             first, top, second = two_stage(b, runs, C.SELECT_TOP_N)
             return top, second
-    top, second = _once(spark, sf_dir, "two_stage", build)
+    top, second = once(spark, sf_dir, "two_stage", build)
     used = second.importance(spark).select(*KEYS, "feature", F.col("gain").alias("second_gain"), F.col("n_splits").alias("second_splits"))
     return rounded(top.drop("run").join(used, [*KEYS, "feature"], "left"))
 
@@ -228,7 +216,7 @@ def q_l2_boost_trace(spark, sf_dir):
         with Scratch(spark) as scratch:
             b = prepare(_split(spark, sf_dir, "train"), NUMERIC, base=True, scratch=scratch)
             return train(b, [Run(0, g, 0, objective="l2", rounds=QUERY_ROUNDS, **C.L2_PARAMS) for g in range(len(b.groups))])
-    return rounded(_once(spark, sf_dir, "l2", build).trace_table(spark), 3)
+    return rounded(once(spark, sf_dir, "l2", build).trace_table(spark), 3)
 
 
 # --- ensembles: E1-E4, C4 ---------------------------------------------------------------
@@ -236,7 +224,7 @@ def _ensemble(spark, sf_dir):
     def build():
         members = C.strategy_table(transition_pairs(load_events(spark, sf_dir)))
         return SurvivalEnsemble.from_table(members, rounds=QUERY_ROUNDS).fit(_split(spark, sf_dir, "train"), NUMERIC)
-    return _once(spark, sf_dir, "ensemble", build)
+    return once(spark, sf_dir, "ensemble", build)
 
 
 @query("ensemble_scores")
@@ -261,7 +249,7 @@ def q_five_model_scores(spark, sf_dir):
     """The five-model ensemble with its fixed weights on the test rows."""
     names = C.PARAM_COLUMNS + ["seed"]
     members = [(dict(zip(names, p)), QUERY_ROUNDS, w) for p, w in zip(C.FIVE_MODELS, C.BLEND_WEIGHTS)]
-    model = _once(spark, sf_dir, "five", lambda: train_ensemble_models(
+    model = once(spark, sf_dir, "five", lambda: train_ensemble_models(
         _split(spark, sf_dir, "train"), NUMERIC, _split(spark, sf_dir, "test"), members)[1])
     return rounded(model.predict(_split(spark, sf_dir, "test")))
 
@@ -277,4 +265,4 @@ def q_run_grid_trace(spark, sf_dir):
         with Scratch(spark) as scratch:
             b = prepare(_split(spark, sf_dir, "train"), NUMERIC, slots=len(grid), scratch=scratch)
             return train(b, variant_runs(b, grid, params))
-    return rounded(_once(spark, sf_dir, "grid", build).trace_table(spark))
+    return rounded(once(spark, sf_dir, "grid", build).trace_table(spark))

@@ -14,28 +14,27 @@ import math
 from pyspark.sql import functions as F
 
 from eventsurv.operators.preprocess import Preprocessor
-from eventsurv.operators.survival import (cox_fit_table, cox_gradients, cox_loglik_at, cox_summary, fit_cox,
-                                          fit_elastic_net, fit_weibull_aft, partial_hazard_score)
+from eventsurv.operators.concordance import concordance_index
+from eventsurv.operators.design import cox_points, prepare_design
+from eventsurv.operators.linear_models import (AFT_EXTRA, fit_coxnet, fit_cox_ridge, fit_enet, median_times, partial_hazards,
+                                               refit_significant, significant)
+from eventsurv.operators.survival import cox_gradients, cox_loglik_at
 from eventsurv.operators.transitions import KEYS
-from eventsurv.plans.catalog import query, rounded
+from eventsurv.plans.catalog import once, query, rounded
 from eventsurv.plans.q_labels import labelled
 from eventsurv.plans.q_preprocess import NUMERIC, transf
 from eventsurv.plans.sqlbase import with_all
 from eventsurv.operators.boosting import best_first_split, equal_width_bins
+from eventsurv.sources.materialize import Scratch
 from eventsurv.sources.sinks import prediction_table
 
 K = ", ".join(KEYS)
 SCI = "%.8e"
 
-# covariates of the model checks (scaled with the fitted preprocessing)
-MODEL_COLUMNS = ["userActiveDaysWeekly", "userActiveDaysMonthly", "userSecondsSincePreviousTransaction",
-                 "transaction_frequency", "logAmount", "marketBorrowCount"]
-
-
-def _scaled_train(spark, sf_dir):
-    t = transf(spark, sf_dir).select(*KEYS, "row_id", "split", "timeDiff", "status", *MODEL_COLUMNS, "category")
-    model = Preprocessor().fit(t.where(F.col("split") == "train"))
-    return t, model
+def _scaled(spark, sf_dir):
+    """All rows with the 112 columns scaled by the training statistics."""
+    t = transf(spark, sf_dir).select(*KEYS, "row_id", "split", "timeDiff", "status", *NUMERIC)
+    return Preprocessor().fit(t.where(F.col("split") == "train")).transform(t)
 
 
 # --- M1 at beta = 0 (oracle) ---------------------------------------------------------
@@ -123,59 +122,153 @@ def q_univariate_ridge(spark, sf_dir):
     """M9 with one covariate and l1_ratio = 0 (pure ridge) against the
     closed form b = cov(x, y) / (var(x) + alpha)."""
     t = labelled(spark, sf_dir).where(F.col("split") == "train").select(*KEYS, "timeDiff", RIDGE_X)
-    coefs = fit_elastic_net(t, [RIDGE_X], F.log1p(F.col("timeDiff")), alpha=RIDGE_ALPHA, l1_ratio=0.0)
+    coefs = fit_enet(t, [RIDGE_X], F.log1p(F.col("timeDiff")), alpha=RIDGE_ALPHA, l1_ratio=0.0)
     return coefs.select(*KEYS, F.when(F.col("covariate") == "Intercept", F.lit("Intercept")).otherwise(F.lit("coef")).alias("term"),
                         F.format_string("%.5e", "coef").alias("value"))
 
 
-# --- estimators (rows-only checks) --------------------------------------------------------
+# --- fitted models over all 112 columns --------------------------------------------------
+# --- fixed values ------------------------------------------------------------------------
+COX_PENALIZER, COX_FALLBACK = 0.1, (1.0, 0.1, 1000)      # fall-back: penalizer, first step, iterations
+COX_P, AFT_P = 0.005, 1e-5
+AFT_PENALIZER = 0.1
+ENET_ALPHA, ENET_L1 = 0.1, 0.5
+COXNET_L1, COXNET_MIN = 0.9, 0.01
+# -----------------------------------------------------------------------------------------
+#: path length of the named query (the estimator's default is 100)
+COXNET_STEPS = 4
+_GRID = with_all() + f", tr AS (SELECT DISTINCT {K} FROM trans WHERE split = 'train'), c AS (SELECT unnest([{', '.join(repr(c) for c in NUMERIC)}]) AS covariate)"
+
+
+def _train(spark, sf_dir):
+    return _scaled(spark, sf_dir).where(F.col("split") == "train")
+
+
+def _test(spark, sf_dir):
+    return _scaled(spark, sf_dir).where(F.col("split") == "test")
+
+
+def _cox(spark, sf_dir):
+    """The ridge Cox fit and its score (gradient of the penalised mean loss)."""
+    def build():
+        with Scratch(spark) as scratch:
+            d = prepare_design(_train(spark, sf_dir), NUMERIC, scratch=scratch)
+            fit = fit_cox_ridge(d, COX_PENALIZER, fallback=COX_FALLBACK)
+            with scratch.arrow(4, "64m"):
+                points = cox_points(d, fit.coef)
+            return fit, {g: p.grad / d.rows[g] + fit.stats[g]["penalizer"] * fit.coef[g] for g, p in points.items()}
+    return once(spark, sf_dir, "cox", build)
+
+
 @query("cox_fit_check")
 def q_cox_fit_check(spark, sf_dir):
-    """M1/M2: penalised Cox fit per transition (log-likelihood, gradient
-    norm at the optimum, iterations, convergence, penalizer used)."""
-    t, model = _scaled_train(spark, sf_dir)
-    train = model.transform(t.where(F.col("split") == "train"))
-    res = fit_cox(train, MODEL_COLUMNS, penalizer=0.1)
-    return cox_fit_table(res, spark)
+    """Penalised Cox fit per transition (status, log-likelihood,
+    score norm at the optimum, iterations, convergence, penalizer used)."""
+    return rounded(_cox(spark, sf_dir)[0].fit_table(spark))
 
 
-P_THRESHOLD = 0.005
+@query("cox_score_check", _GRID + f"\nSELECT {K}, covariate, 0.0::DOUBLE AS score FROM tr, c")
+def q_cox_score_check(spark, sf_dir):
+    """M1: the score equation of every transition and column, computed anew at
+    the fitted coefficients; 0 at the optimum (6 decimals)."""
+    fit, score = _cox(spark, sf_dir)
+    rows = [(*fit.groups[g], c, float(v)) for g, x in score.items() for c, v in zip(fit.cols, x)]
+    return rounded(spark.createDataFrame(rows, f"{KEYS[0]} string, {KEYS[1]} string, covariate string, score double"))
 
 
 @query("cox_summary")
 def q_cox_summary(spark, sf_dir):
     """M7 + P9: coefficient summary, covariates with p <= 0.005."""
-    t, model = _scaled_train(spark, sf_dir)
-    res = fit_cox(model.transform(t.where(F.col("split") == "train")), MODEL_COLUMNS, penalizer=0.1)
-    return cox_summary(res, spark).where(F.col("p") <= P_THRESHOLD)
+    return rounded(significant(_cox(spark, sf_dir)[0], spark, COX_P))
+
+
+@query("cox_c_index")
+def q_cox_c_index(spark, sf_dir):
+    """M3 + C1: C-index of the fitted Cox scores on the test rows."""
+    return rounded(concordance_index(partial_hazards(_test(spark, sf_dir), _cox(spark, sf_dir)[0]), KEYS))
+
+
+@query("prediction_table")
+def q_prediction_table(spark, sf_dir):
+    """Cox partial-hazard scores of the test rows, one row per
+    (transition, row_id); transitions without a converged fit have none."""
+    return prediction_table(partial_hazards(_test(spark, sf_dir), _cox(spark, sf_dir)[0]))
+
+
+def _aft(spark, sf_dir):
+    def build():
+        with Scratch(spark) as scratch:
+            d = prepare_design(_train(spark, sf_dir), NUMERIC, positive=True, scratch=scratch)
+            return refit_significant(d, AFT_PENALIZER, AFT_P)
+    return once(spark, sf_dir, "aft", build)
 
 
 @query("aft_fit_check")
 def q_aft_fit_check(spark, sf_dir):
-    """M4: Weibull AFT per transition (positive durations only), with the
-    distribution parameters removed by name (P10)."""
-    t, model = _scaled_train(spark, sf_dir)
-    coefs = fit_weibull_aft(model.transform(t.where(F.col("split") == "train")), MODEL_COLUMNS)
-    return coefs.where(~F.col("covariate").isin("Intercept", "log_scale"))
+    """M4: Weibull AFT per transition (positive durations only): coefficients
+    and Wald tests, the distribution parameters removed by name (P10)."""
+    return rounded(_aft(spark, sf_dir)[0].summary(spark).where(~F.col("covariate").isin(*AFT_EXTRA)))
+
+
+@query("aft_reselect")
+def q_aft_reselect(spark, sf_dir):
+    """M6: the fit on the columns with p <= 1e-5 (P9, P10) of the first fit."""
+    first, _, again = _aft(spark, sf_dir)
+    kept = significant(first, spark, AFT_P).select(*KEYS, "covariate", F.col("p").alias("first_p"))
+    return rounded(again.summary(spark).join(kept, [*KEYS, "covariate"]))
+
+
+@query("aft_feature_counts")
+def q_aft_feature_counts(spark, sf_dir):
+    """Columns kept by the AFT filter (p <= 1e-5) per transition."""
+    first, chosen, _ = _aft(spark, sf_dir)
+    return spark.createDataFrame([(*first.groups[g], len(c)) for g, c in chosen.items()], f"{KEYS[0]} string, {KEYS[1]} string, n_features int")
 
 
-@query("elastic_net_check")
+@query("aft_median")
+def q_aft_median(spark, sf_dir):
+    """M5: predicted median survival of the test rows by the refitted model."""
+    t = median_times(_test(spark, sf_dir), _aft(spark, sf_dir)[2])
+    return t.select(*KEYS, "row_id", "median_time")
+
+
+@query("elastic_net_check", _GRID + f"\nSELECT {K}, covariate, 0.0::DOUBLE AS kkt FROM tr, (SELECT * FROM c UNION ALL SELECT 'Intercept')")
 def q_elastic_net_check(spark, sf_dir):
-    """M9: elastic-net on the log duration, alpha 0.1, l1_ratio 0.5."""
-    t, model = _scaled_train(spark, sf_dir)
-    train = model.transform(t.where(F.col("split") == "train"))
-    return fit_elastic_net(train, MODEL_COLUMNS, F.log1p(F.col("timeDiff")), alpha=0.1, l1_ratio=0.5)
+    """M9: elastic net on the log duration (alpha 0.1, l1_ratio 0.5): violation
+    of the sub-gradient condition of every coefficient."""
+    return rounded(_enet(spark, sf_dir).select(*KEYS, "covariate", "kkt"))
 
 
-@query("prediction_table")
-def q_prediction_table(spark, sf_dir):
-    """Cox partial-hazard scores of the test rows, one row per
-    (transition, row_id); ``prediction_table`` also writes them partitioned."""
-    t, model = _scaled_train(spark, sf_dir)
-    res = fit_cox(model.transform(t.where(F.col("split") == "train")), MODEL_COLUMNS, penalizer=0.1)
-    test = model.transform(t.where(F.col("split") == "test"))
-    scored = partial_hazard_score(test, res)
-    return prediction_table(scored.select(*KEYS, "row_id", "score"))
+def _enet(spark, sf_dir):
+    rows = once(spark, sf_dir, "enet", lambda: fit_enet(_train(spark, sf_dir), NUMERIC, F.log1p("timeDiff"), ENET_ALPHA, ENET_L1).collect())
+    return spark.createDataFrame(rows, f"{KEYS[0]} string, {KEYS[1]} string, covariate string, coef double, kkt double")
+
+
+@query("elastic_net_coefs")
+def q_elastic_net_coefs(spark, sf_dir):
+    """M9: the coefficients of that fit."""
+    return rounded(_enet(spark, sf_dir).select(*KEYS, "covariate", "coef"))
+
+
+def _coxnet(spark, sf_dir):
+    def build():
+        with Scratch(spark) as scratch:
+            d = prepare_design(_train(spark, sf_dir), NUMERIC, scratch=scratch)
+            return fit_coxnet(d, COXNET_L1, COXNET_MIN, COXNET_STEPS)
+    return once(spark, sf_dir, "coxnet", build)
+
+
+@query("coxnet_check", _GRID + f"\nSELECT {K}, CAST(step AS INTEGER) AS step, covariate, 0.0::DOUBLE AS kkt FROM tr, c, range({COXNET_STEPS}) s(step)")
+def q_coxnet_check(spark, sf_dir):
+    """M8: violation of the sub-gradient condition of every coefficient along
+    the path (l1_ratio 0.9, down to 0.01 of the largest penalty)."""
+    return rounded(_coxnet(spark, sf_dir).table(spark).select(*KEYS, "step", "covariate", "kkt"))
+
+
+@query("coxnet_path")
+def q_coxnet_path(spark, sf_dir):
+    """M8: the coefficients that are not 0 along that path."""
+    return rounded(_coxnet(spark, sf_dir).table(spark).where("coef <> 0").select(*KEYS, "step", "alpha", "covariate", "coef"))
 
 
 # --- M11: histogram and best root split at margin 0 (oracle) -----------------------------
