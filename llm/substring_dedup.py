@@ -10,20 +10,26 @@ least ``L`` shingles; only positions that are the minimum of some ``L`` in a
 row can be such nodes, so a sliding minimum finds them and a stack over them
 gives left and right: about ``2 n / L`` windows a function, not ``n^2 / 2``.
 
-Windows of the same function and value share a signature.  Each group is
-joined with its first window (smallest doc_id, then position), never in all
-pairs.  A window that is alone is dropped by a bitmap of fixed size before
-the exchange.  Joined windows are intervals aligned by their centres and
-must have ``L`` shingles in common room; a pair (document, source) that does
-so under ``NEEDED`` of the functions is a candidate.  An earlier document that
-holds the signature need not hold the passage, so exact repeats don't hang on
-it: each run of ``L`` shingles in a shared window of the first function is
-hashed, and every document that has the run is a candidate with the first
-document that has it.  A repeat has the same window in all its documents, so
-none is missed, and the work is linear in the windows.  Passages that are only
-similar hang on the first window of a signature.  The two whole texts
-confirm a candidate: spans are stretches in which every ``L`` shingles in a row have
-a Jaccard similarity of 0.8 or more with shingles of the source.
+Windows of the same function and value share a signature.  Candidates, in
+linear work each, never all pairs of a group:
+
+1. Each group is joined with its first window (smallest doc_id, then
+   position).  Joined windows are intervals aligned by their centres and must
+   have ``L`` shingles in common room; a pair (document, source) that does so
+   under ``NEEDED`` of the functions is a candidate.
+2. Each run of ``L`` shingles in a shared window of the first function is hashed,
+   and every document that has the run is a candidate with the first document
+   that has it: no exact repeat is missed, whatever earlier documents hold.
+3. Windows that no confirmed passage explains are joined again by *pairs* of
+   signatures: two functions whose windows have ``L`` shingles in common room,
+   with the distance of their centres.  An earlier document that holds only a
+   part of a passage shares a pair only if both centres lie in that part, so
+   passages that are merely similar find each other behind it.
+
+Windows whose signature no other document has are dropped inside the worker by
+a bitmap (1 to 32 MB).  The two whole texts confirm a candidate: spans are
+stretches in which every ``L`` shingles in a row have a Jaccard similarity of
+0.8 or more with shingles of the source.
 
 Result: one row per repeated passage, ``doc_id, source_id, start_word,
 end_word, start_byte, end_byte, similarity``: the words [start, end) of
@@ -45,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
-from llm.tables import bit_filter, bit_flag, bit_table, hide_extra, small_batches, text_slices
+from llm.tables import bit_filter, bit_flag, bit_table, collected_bits, has_bit, hide_extra, key_bits, small_batches, text_slices
 from llm.words import constants, mix, shingles, utf8, word_hashes
 
 GRAM = 5
@@ -112,36 +118,92 @@ def run_hashes(s: np.ndarray, width: int) -> np.ndarray:
     return mix(h[:len(h) - rest] * mul + h[rest:]) if rest else h
 
 
-def _windows(words: int, runs: bool = False):
-    """Rows of windows; with ``runs`` those of the first function also give
-    the hashes of the runs of ``width`` shingles that hold the centre."""
+def _text_windows(batches, words: int):
+    """Per slice of texts and function: ids, shingles and windows."""
     width = words - GRAM + 1
+    mul, flip = constants(HASHES, 71), constants(HASHES, 72)
+    for pdf in batches:
+        ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].tolist()
+        for a, b in text_slices(texts, 2_000_000):
+            w = word_hashes(texts[a:b])
+            long = np.flatnonzero(np.diff(w.bounds) >= words)
+            if not len(long):
+                continue
+            begin, sizes = w.bounds[long], np.diff(w.bounds)[long] - GRAM + 1
+            ends = np.cumsum(sizes)
+            s = shingles(w.hashes, GRAM)[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)]
+            for k in range(HASHES):
+                x = (s ^ flip[k]) * mul[k]
+                left, centre, right = compact_windows(x, width, ends)
+                text = np.searchsorted(ends, centre, side="right")
+                yield k, s, mix(x[centre] + _U(k)), ids[a + long[text]], left, centre, right, (ends - sizes)[text]
 
+
+def _signatures(words: int):
+    """``key, doc_id`` of every window, once per text."""
     def run(batches):
-        mul, flip = constants(HASHES, 71), constants(HASHES, 72)
+        for _, _, key, ids, *_ in _text_windows(batches, words):
+            yield pd.DataFrame({"key": key.astype(np.int64), "doc_id": ids}).drop_duplicates()
+    return run
+
+
+def _windows(words: int, held: np.ndarray):
+    """The windows whose signature may be another document's too; those of the
+    first function with the hashes of the runs of ``width`` shingles that hold
+    the centre."""
+    width = words - GRAM + 1
+
+    def run(batches):
+        for k, s, key, ids, left, centre, right, base in _text_windows(batches, words):
+            at = np.flatnonzero(has_bit(held, key))
+            if k == 0:
+                runs_of = run_hashes(s, width).astype(np.int64)
+            if not len(at):
+                continue
+            key, ids, left, centre, right, base = (v[at] for v in (key, ids, left, centre, right, base))
+            out = pd.DataFrame({"key": key.astype(np.int64), "doc_id": ids, "k": np.full(len(at), k, np.int32), "l": (left - base).astype(np.int32),
+                                "c": (centre - base).astype(np.int32), "r": (right - base).astype(np.int32)})
+            spans = zip(np.maximum(left, centre - width + 1).tolist(), (np.minimum(centre, right - width + 1) + 1).tolist(), strict=True)
+            out["runs"] = pd.Series([None] * len(out) if k else [runs_of[i:j] for i, j in spans], dtype=object)
+            yield out
+    return run
+
+
+def _signature_pairs(words: int):
+    """Windows sorted by (doc_id, c) to ``pair, doc_id, ks``: two functions whose
+    windows share ``width`` shingles with both centres, and their distance.
+    Only windows within ``width`` places are carried from batch to batch."""
+    width = words - GRAM + 1
+    mul = constants(2, 74)
+
+    def run(batches):
+        names = ["key", "doc_id", "k", "l", "c", "r"]
+        old = None
         for pdf in batches:
-            ids, texts = pdf["doc_id"].to_numpy(np.int64), pdf["text"].tolist()
-            for a, b in text_slices(texts, 2_000_000):
-                w = word_hashes(texts[a:b])
-                long = np.flatnonzero(np.diff(w.bounds) >= words)
-                if not len(long):
-                    continue
-                begin, sizes = w.bounds[long], np.diff(w.bounds)[long] - GRAM + 1
-                ends = np.cumsum(sizes)
-                s = shingles(w.hashes, GRAM)[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)]
-                runs_of = run_hashes(s, width).astype(np.int64) if runs else None
-                for k in range(HASHES):
-                    x = (s ^ flip[k]) * mul[k]
-                    left, centre, right = compact_windows(x, width, ends)
-                    text = np.searchsorted(ends, centre, side="right")
-                    base = (ends - sizes)[text]
-                    out = pd.DataFrame({"key": mix(x[centre] + _U(k)).astype(np.int64), "doc_id": ids[a + long[text]],
-                                        "k": np.full(len(centre), k, np.int32), "l": (left - base).astype(np.int32),
-                                        "c": (centre - base).astype(np.int32), "r": (right - base).astype(np.int32)})
-                    if runs:
-                        spans = zip(np.maximum(left, centre - width + 1).tolist(), (np.minimum(centre, right - width + 1) + 1).tolist(), strict=True)
-                        out["runs"] = pd.Series([None] * len(out) if k else [runs_of[i:j] for i, j in spans], dtype=object)
-                    yield out
+            v = {n: pdf[n].to_numpy(np.int64) for n in names}
+            seen = 0
+            if old is not None:
+                seen = len(old["c"])
+                v = {n: np.concatenate([old[n], v[n]]) for n in names}
+            n, step = len(v["c"]), 1
+            while step < n:
+                i, j = np.arange(n - step), np.arange(step, n)
+                near = (v["doc_id"][i] == v["doc_id"][j]) & (v["c"][j] - v["c"][i] < width)
+                if not near.any():
+                    break
+                lo, hi = np.maximum(v["l"][i], v["l"][j]), np.minimum(v["r"][i], v["r"][j])
+                ok = near & (v["k"][i] != v["k"][j]) & (j >= seen) & (lo <= v["c"][i]) & (hi >= v["c"][j]) & (hi - lo + 1 >= width)
+                i, j = i[ok], j[ok]
+                if len(i):
+                    swap = v["k"][i] > v["k"][j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    off = (v["c"][j] - v["c"][i] + (1 << 20)).astype(_U)
+                    pair = mix(v["key"][i].astype(_U) * mul[0] + mix(v["key"][j].astype(_U) * mul[1] + off))
+                    yield pd.DataFrame({"pair": pair.astype(np.int64), "doc_id": v["doc_id"][i],
+                                        "ks": ((1 << v["k"][i]) | (1 << v["k"][j])).astype(np.int32)})
+                step += 1
+            tail = (v["doc_id"] == v["doc_id"][-1]) & (v["c"] > v["c"][-1] - width) if n else np.zeros(0, bool)
+            old = {name: x[tail] for name, x in v.items()}
     return run
 
 
@@ -188,28 +250,18 @@ def _confirm(words: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The repeated passages of at least ``words`` words (module docstring)."""
-    small_batches(docs.sparkSession)
-    width = words - GRAM + 1
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    columns = "key long, doc_id long, k int, l int, c int, r int"
-    windows = base.mapInPandas(_windows(words), columns)
-    first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
-    groups = (windows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-              .select("key", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))
-    groups = materialize(groups, "passage-groups")
-    again = base.mapInPandas(_windows(words, runs=True), columns + ", runs array<long>")
-    shared = materialize(bit_filter(again, F.col("key"), groups, "key", 1 << 25), "passage-windows")
-    hits = shared.drop("runs").join(groups, "key")
-    off = F.col("c") - F.col("fc")
-    lo = F.greatest("l", F.col("fl") + off, F.col("c") - (width - 1))
-    hi = F.least("c", F.least("r", F.col("fr") + off) - (width - 1))
-    aligned = (hits.withColumns({"off": off, "lo": lo, "hi": hi})
-               .where("lo <= hi and doc_id <> source_id")
-               .select("doc_id", "source_id", "k"))
-    per = aligned.groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
-    pairs = per.where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id")
+def _checked(pairs: DataFrame, base: DataFrame, words: int) -> DataFrame:
+    """The spans of candidate pairs ``doc_id, source_id``, by their whole texts."""
+    need = materialize(pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("source_id").alias("id"))).distinct(), "passage-ids")
+    distinct = base.withColumnRenamed("doc_id", "_id")
+    texts = materialize(bit_filter(distinct, F.col("_id"), need, "id").join(need, F.col("_id") == F.col("id"), "left_semi").distinct(), "passage-texts")
+    both = (pairs.join(texts, F.col("doc_id") == F.col("_id")).drop("_id")
+            .join(texts.select(F.col("_id").alias("_sid"), F.col("text").alias("source_text")), F.col("source_id") == F.col("_sid")))
+    return materialize(both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS), "passage-found")
+
+
+def _exact_pairs(shared: DataFrame) -> DataFrame:
+    """Every document that has a run, with the first document that has it."""
     # windows with equal runs are a class: its first document holds them all, and only
     # that one's runs are compared, where other classes have the signature too
     ones = shared.where("k = 0").withColumn("runs_hash", F.xxhash64("runs"))
@@ -218,19 +270,65 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     exact = ones.select("key", "runs_hash", "doc_id").join(copied, ["key", "runs_hash"]).where("doc_id <> source_id").select("doc_id", "source_id")
     mixed = classes.groupBy("key").agg(F.min("runs_hash").alias("_a"), F.max("runs_hash").alias("_b")).where("_a < _b").select("key")
     firsts = materialize(classes.join(mixed, "key").select(F.xxhash64("key", "runs_hash", "source_id").alias("id")), "passage-firsts")
-    runs = (bit_filter(ones, F.xxhash64("key", "runs_hash", "doc_id"), firsts, "id", 1 << 25)
-            .select(F.explode("runs").alias("run"), "doc_id"))
+    runs = materialize(bit_filter(ones, F.xxhash64("key", "runs_hash", "doc_id"), firsts, "id", 1 << 25)
+                       .select(F.explode("runs").alias("run"), "doc_id"), "passage-runs")
     holders = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                           .where("source_id < last").select("run", "source_id"), "passage-holders")
-    exact = exact.unionByName(bit_filter(runs, F.col("run"), holders, "run", 1 << 25).join(holders, "run")
-                              .where("doc_id <> source_id").select("doc_id", "source_id"))
-    pairs = materialize(pairs.unionByName(exact).distinct(), "passage-pairs")
-    distinct = base.withColumnRenamed("doc_id", "_id")
-    need = materialize(pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("source_id").alias("id"))).distinct(), "passage-ids")
-    texts = materialize(bit_filter(distinct, F.col("_id"), need, "id").join(need, F.col("_id") == F.col("id"), "left_semi").distinct(), "passage-texts")
-    both = (pairs.join(texts, F.col("doc_id") == F.col("_id")).drop("_id")
-            .join(texts.select(F.col("_id").alias("_sid"), F.col("text").alias("source_text")), F.col("source_id") == F.col("_sid")))
-    return both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS)
+    return exact.unionByName(bit_filter(runs, F.col("run"), holders, "run", 1 << 25).join(holders, "run")
+                             .where("doc_id <> source_id").select("doc_id", "source_id"))
+
+
+def _unexplained(shared: DataFrame, groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows of signatures that three windows or more share, outside the
+    passages found so far; signatures of two were compared already."""
+    crowded = groups.where("n > 2").select("key")
+    open_ = bit_filter(shared.drop("runs"), F.col("key"), crowded, "key", 1 << 25)
+    spans = found.select(F.col("doc_id").alias("_id"), "start_word", "end_word").distinct()
+    flagged = bit_flag(open_, F.col("doc_id"), bit_table(spans, "_id", 1 << 25), "_maybe", 1 << 25)
+    doubt = flagged.where("_maybe").drop("_maybe").join(
+        spans, (F.col("doc_id") == F.col("_id")) & (F.col("c") >= F.col("start_word")) & (F.col("c") + GRAM <= F.col("end_word")), "left_anti")
+    left = materialize(flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(doubt), "passage-open")
+    alive = left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    return left.join(materialize(alive, "passage-alive"), "key", "left_semi")
+
+
+def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The repeated passages of at least ``words`` words (module docstring)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    width = words - GRAM + 1
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    keys = (base.mapInPandas(_signatures(words), "key long, doc_id long").groupBy("key")
+            .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
+    keys = materialize(keys, "passage-keys")
+    held = collected_bits(keys, "key", key_bits(keys.count()))
+    shared = materialize(base.mapInPandas(_windows(words, held), "key long, doc_id long, k int, l int, c int, r int, runs array<long>"), "passage-windows")
+    first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
+    groups = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"), first).where("last > f.doc_id")
+              .select("key", "n", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))
+    groups = materialize(groups, "passage-groups")
+    hits = shared.drop("runs").join(groups.drop("n"), "key")
+    off = F.col("c") - F.col("fc")
+    lo = F.greatest("l", F.col("fl") + off, F.col("c") - (width - 1))
+    hi = F.least("c", F.least("r", F.col("fr") + off) - (width - 1))
+    votes = (hits.withColumns({"off": off, "lo": lo, "hi": hi}).where("lo <= hi and doc_id <> source_id")
+             .groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks")))
+    votes = materialize(votes, "passage-votes")
+    near = votes.where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id")
+    pairs = materialize(near.unionByName(_exact_pairs(shared)).distinct(), "passage-pairs")
+    found = _checked(pairs, base, words)
+    # what no passage found so far explains: by pairs of signatures
+    open_ = _unexplained(shared, groups, found)
+    twos = (open_.repartition("doc_id").sortWithinPartitions("doc_id", "c")
+            .mapInPandas(_signature_pairs(words), "pair long, doc_id long, ks int"))
+    twos = materialize(twos, "passage-twos")
+    heads = materialize(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
+                        .where("source_id < last").select("pair", "source_id"), "passage-heads")
+    again = bit_filter(twos, F.col("pair"), heads, "pair", 1 << 25).join(heads, "pair").where("doc_id <> source_id")
+    again = (again.select("doc_id", "source_id", "ks").unionByName(votes.select("doc_id", "source_id", "ks"))
+             .groupBy("doc_id", "source_id").agg(F.bit_or("ks").alias("ks")).where(F.bit_count("ks") >= NEEDED)
+             .join(pairs, ["doc_id", "source_id"], "left_anti").select("doc_id", "source_id"))
+    return found.unionByName(_checked(materialize(again, "passage-again"), base, words))
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,29 @@ def bit_filter(df: DataFrame, key: Column, keys: DataFrame, key_name: str, bits:
     return bit_flag(df, key, bit_table(keys, key_name, bits), "_hit", bits).where("_hit").drop("_hit")
 
 
+def key_bits(count: int, low: int = 23, high: int = 28) -> int:
+    """Bits of a bitmap for ``count`` keys: about eight a key, 1 MB to 32 MB."""
+    return 1 << min(high, max(low, (8 * max(count, 1) - 1).bit_length()))
+
+
+def collected_bits(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """The bitmap of already mixed 64-bit ``key`` values on the driver (its
+    size is ``bits / 8`` bytes whatever the number of keys), for ``has_bit``."""
+    p = F.col(key).bitwiseAND(F.lit(bits - 1)) + F.lit(1)
+    rows = keys.groupBy(F.bitmap_bucket_number(p).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).collect()
+    held = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * len(r["bits"])
+        held[at:at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return held
+
+
+def has_bit(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are certainly not in the bitmap."""
+    at = keys.astype(np.uint64) & np.uint64(8 * len(held) - 1)
+    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """``df`` without the rows whose ``column`` is in ``ids`` (one column of
     the same name).  Only rows that a bit filter can't clear are shuffled."""

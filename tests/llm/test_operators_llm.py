@@ -336,3 +336,46 @@ def test_every_labelled_language_is_learned(spark):
     rows = [(10 * k + i, f"{chr(0x4E00 + 3 * k) * 3} {chr(0x4E01 + 3 * k) * 4}", f"l{k:02}") for k in range(70) for i in range(4)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model["langs"] == sorted({r[2] for r in rows}) and model["w"].shape[1] == 70
+
+
+def near_passages(groups, holders=3):
+    """Pairs of documents with near-equal passages of 70 words (two replaced)
+    behind earlier documents that hold parts of them, all under 50 words."""
+    rng = random.Random(11)
+    rows, want, at = [], [], 0
+    for _ in range(groups):
+        passage = words(rng, 70).split()
+        parts = [passage[:40], passage[15:55], passage[30:]][:holders]
+        later = list(passage)
+        for i in (10, 60):
+            later[i] = words(rng, 1)
+        for part in [*parts, passage, later]:
+            rows.append((at, words(rng, 30) + " " + " ".join(part) + " " + words(rng, 30)))
+            at += 1
+        want.append((at - 1, at - 2))
+    return rows, want
+
+
+def test_near_equal_passages_are_found_behind_part_holders(spark):
+    rows, want = near_passages(60)
+    rng = random.Random(12)
+    rows += [(len(rows) + i, words(rng, 90)) for i in range(20)]
+    got = {(r["doc_id"], r["source_id"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want) & got) >= 54 and not got - set(want)
+
+
+def test_passages_equal_brute_force_on_a_small_table(spark, corpus):
+    """Every document that repeats a passage of an earlier one is reported, each
+    reported span is confirmed by the texts, and no other document is."""
+    near, _ = near_passages(6)
+    rows = [(r[0], r[1]) for r in corpus] + [(1000 + i, t) for i, t in near]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    h = substring_dedup.word_hashes([t for _, t in rows])
+    sh = {i: substring_dedup.shingles(h.hashes[h.bounds[n]:h.bounds[n + 1]], 5) for n, (i, _) in enumerate(rows)}
+    spans = {}
+    for i, j in itertools.permutations(sh, 2):
+        if j < i and (s := [x for x in substring_dedup.matching_spans(sh[i], sh[j], 46) if x[1] + 4 - x[0] >= 50]):
+            spans[i, j] = s
+    assert {r["doc_id"] for r in got} == {i for i, _ in spans}
+    for r in got:
+        assert (r["start_word"], r["end_word"] - 4) in {(p, q) for p, q, _ in spans[r["doc_id"], r["source_id"]]}
