@@ -170,9 +170,10 @@ def _windows(words: int, held: np.ndarray):
 
 
 def _signature_pairs(words: int):
-    """Windows sorted by (doc_id, c) to ``pair, doc_id, ks``: two functions whose
-    windows share ``width`` shingles with both centres, and their distance.
-    Only windows within ``width`` places are carried from batch to batch."""
+    """Windows sorted by (doc_id, c) to ``pair, doc_id, ks``: two functions that
+    follow each other in a ring, whose windows share ``width`` shingles with both
+    centres, and their distance.  Only windows within ``width`` places are
+    carried from batch to batch."""
     width = words - GRAM + 1
     mul = constants(2, 74)
 
@@ -186,17 +187,20 @@ def _signature_pairs(words: int):
                 seen = len(old["c"])
                 v = {n: np.concatenate([old[n], v[n]]) for n in names}
             n, step = len(v["c"]), 1
-            while step < n:
-                i, j = np.arange(n - step), np.arange(step, n)
-                near = (v["doc_id"][i] == v["doc_id"][j]) & (v["c"][j] - v["c"][i] < width)
-                if not near.any():
+            left = np.arange(n)
+            while True:
+                left = left[left + step < n]
+                # a row out of reach at one step is out of reach at all later ones
+                left = left[(v["doc_id"][left] == v["doc_id"][left + step]) & (v["c"][left + step] - v["c"][left] < width)]
+                if not len(left):
                     break
+                i, j = left, left + step
+                turn = (v["k"][j] - v["k"][i]) % HASHES
                 lo, hi = np.maximum(v["l"][i], v["l"][j]), np.minimum(v["r"][i], v["r"][j])
-                ok = near & (v["k"][i] != v["k"][j]) & (j >= seen) & (lo <= v["c"][i]) & (hi >= v["c"][j]) & (hi - lo + 1 >= width)
-                i, j = i[ok], j[ok]
+                ok = ((turn == 1) | (turn == HASHES - 1)) & (j >= seen) & (lo <= v["c"][i]) & (hi >= v["c"][j]) & (hi - lo + 1 >= width)
+                i, j, turn = i[ok], j[ok], turn[ok]
                 if len(i):
-                    swap = v["k"][i] > v["k"][j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    i, j = np.where(turn == 1, i, j), np.where(turn == 1, j, i)
                     off = (v["c"][j] - v["c"][i] + (1 << 20)).astype(_U)
                     pair = mix(v["key"][i].astype(_U) * mul[0] + mix(v["key"][j].astype(_U) * mul[1] + off))
                     yield pd.DataFrame({"pair": pair.astype(np.int64), "doc_id": v["doc_id"][i],
