@@ -2,16 +2,24 @@
 
 Each source is a queue of documents (in table order); a document is its token
 ids and then id 1.  Deficit round-robin: of every window of ``WINDOW`` tokens
-each source is due a share proportional to its target; it is served in quanta
-of ``QUANTUM`` tokens when its deficit reaches half a quantum, and what is not
-served is carried to the next window.  With targets equal to the shares of
-the corpus all queues end together, and the window of quantum ``c`` of a
-queue with ``T`` of the tokens has a closed form,
-``floor((c + 1/2) * QUANTUM * windows / T)``, so windows and partitions need
-no state of each other: every window holds each source's share to within a
-quantum.  The served quanta, ordered by window, source and place in the queue,
-form one stream that is cut every ``LENGTH`` tokens; only the last sequence is
-not full.
+each source that still has tokens is due a share proportional to its target; it
+is served in quanta of ``QUANTUM`` tokens when its deficit reaches half a
+quantum, and what is not served is carried to the next window.  A dry queue
+leaves its share to the others in proportion to their targets.  ``targets`` maps
+sources to weights; a source not named weighs its share of the corpus, which is
+also the default for all.
+
+No window or partition needs another's state, because the carried deficits
+have a closed form.  On a clock on which every live queue is served its target
+``p`` per tick, quantum ``c`` of a queue is due at tick ``(c + 1/2) * QUANTUM / p`` and
+a queue of ``T`` tokens runs dry at tick ``T / p``.  By tick ``v`` the stream holds
+``F(v) = sum of min(p v, T)`` over the queues, and the quantum belongs to window
+``F(v) div WINDOW``.  ``F`` is linear between the ticks at which queues run dry (a
+table of one row per source); with corpus shares all run dry together and ``F(v) =
+v``.  ``window_deficits`` lists what each source was due, got and carries after
+every window.  The served quanta, ordered by window, source and place in the
+queue, form one stream that is cut every ``LENGTH`` tokens; only the last
+sequence is not full.
 
 Positions in queue and stream are running sums over ranges of rows
 (``prefix.running_sums``), so no task holds a source.  Texts are tokenized
@@ -38,7 +46,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventsurv.operators.prefix import running_sums
@@ -142,7 +150,43 @@ def _cut(batches):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, source string"
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW, quantum: int = QUANTUM, end: int = END) -> DataFrame:
+def _clock(totals: DataFrame, targets: dict[str, float]) -> tuple[dict[str, float], list[tuple[float, float, float]]]:
+    """Target of every queue (they sum to 1) and, ordered by the tick at which
+    each runs dry, ``(tick, F there, rate of F after it)``: one row per source."""
+    rows = {r["queue"]: r["total"] for r in totals.collect()}
+    total = sum(rows.values())
+    weight = {q: float(targets.get(q, t / total)) for q, t in rows.items()}
+    if any(not w > 0 for w in weight.values()):
+        raise ValueError("targets must be positive")
+    share = {q: w / sum(weight.values()) for q, w in weight.items()}
+    rate, v, f, steps = 1.0, 0.0, 0.0, [(0.0, 0.0, 1.0)]
+    for q in sorted(rows, key=lambda q: (rows[q] / share[q], q)):
+        dry = rows[q] / share[q]
+        f, v, rate = f + rate * (dry - v), dry, max(rate - share[q], 0.0)
+        steps.append((v, f, rate))
+    return share, steps
+
+
+def window_deficits(pieces: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW) -> DataFrame:
+    """``window, source, due, served, deficit`` from the pieces of :func:`pack`:
+    tokens each source was due and got in every window, and what it carries."""
+    spark = pieces.sparkSession
+    got = pieces.groupBy("window", "source").agg(F.sum("length").alias("served"))
+    got = materialize(got, "pack-served")
+    totals = got.groupBy(F.col("source").alias("queue")).agg(F.sum("served").alias("total"))
+    share, steps = _clock(totals, targets or {})
+    last = got.agg(F.max("window")).first()[0]
+    ticks = np.interp([(w + 1) * float(window) for w in range(-1, (-1 if last is None else last) + 1)], [f for _, f, _ in steps], [v for v, _, _ in steps])
+    size = {r["queue"]: r["total"] for r in totals.collect()}
+    rows = [(w, q, float(min(p * ticks[w + 1], size[q]) - min(p * ticks[w], size[q]))) for w in range(len(ticks) - 1) for q, p in share.items()]
+    due = spark.createDataFrame(rows, "window long, source string, due double")        # windows x sources
+    w = Window.partitionBy("source").orderBy("window")
+    return (due.join(got, ["window", "source"], "left").withColumn("served", F.coalesce("served", F.lit(0)))
+            .withColumn("deficit", F.sum(F.col("due") - F.col("served")).over(w)))
+
+
+def pack(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW, quantum: int = QUANTUM, end: int = END,
+         targets: dict[str, float] | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, window, source``."""
     spark = docs.sparkSession
@@ -157,13 +201,22 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDOW,
     if not everything:
         return spark.createDataFrame([], PIECES)
     windows = -(-everything // window)
+    due = (F.col("c") + 0.5) * quantum * windows / F.col("total")
+    if targets:
+        share, steps = _clock(totals, targets)
+        rates = spark.createDataFrame([(q, p) for q, p in share.items()], "queue string, rate double")
+        totals = totals.join(rates, "queue")
+        tick = (F.col("c") + 0.5) * quantum / F.col("rate")
+        clock = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(s, ("v", "f", "r"))]) for s in steps])
+        at = F.element_at(F.filter(clock, lambda s: s["v"] <= tick), -1)
+        due = (at["f"] + at["r"] * (tick - at["v"])) / float(window)
     placed = running_sums(tokens.select("rid", "queue", "doc_tokens"), ["queue"], [F.col("rid")], ["doc_tokens"])
     pos, n = F.col("run_doc_tokens"), F.col("doc_tokens")
     q = F.lit(quantum)
     served = (placed.join(totals, "queue")
               .withColumn("c", F.explode(F.sequence(F.expr(f"run_doc_tokens div {quantum}"), F.expr(f"(run_doc_tokens + doc_tokens - 1) div {quantum}"))))
               .withColumns({"from": F.greatest(pos, F.col("c") * q), "to": F.least(pos + n, (F.col("c") + 1) * q)})
-              .withColumn("window", F.least(F.lit(windows - 1), F.floor((F.col("c") + 0.5) * quantum * windows / F.col("total"))).cast("long"))
+              .withColumn("window", F.least(F.lit(windows - 1), F.floor(due)).cast("long"))
               .select("rid", "queue", "window", F.col("from").alias("at"), (F.col("from") - pos).alias("start"), (F.col("to") - F.col("from")).alias("tokens")))
     stream = running_sums(served, [], [F.col("window"), F.col("queue"), F.col("at")], ["tokens"])
     first, last = F.expr(f"run_tokens div {length}"), F.expr(f"(run_tokens + tokens - 1) div {length}")

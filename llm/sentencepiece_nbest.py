@@ -8,11 +8,13 @@ A-star search backward from the end, which therefore meets the segmentations
 in order of score.  No place is expanded more than N times: later ways from it
 to the end can't be in the N best, so memory and work follow the length.
 
-White space is U+2581 and pieces hold it at their start only, so the lattice
-falls apart at word boundaries: segments are searched once and whole, those of
-up to ``LONG`` characters are kept in a bounded cache, and the best
-segmentations of the text are the best sums over its segments, found by the
-same best-first search over the segments' losses.
+No way leads across a place whose two characters stand side by side in no
+piece, so the lattice falls apart there (at word boundaries, since U+2581 only
+begins pieces, and mostly between letters and punctuation).  The parts are
+searched whole, whatever their length; those of up to ``LONG`` characters are
+kept in a bounded cache of two generations, and the best segmentations of the
+text are the best sums over its parts, found by the same best-first search
+over the parts' losses.
 
 Decoding joins the pieces, turns U+2581 into spaces and drops the one space
 put before the text.  U+2581 itself in a text is covered by byte
@@ -28,10 +30,8 @@ from __future__ import annotations
 
 import gc
 import heapq
-import re
 import zlib
 from array import array
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ SPACE = "▁"
 NBEST = 3
 CACHE = 400_000
 LONG = 256
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]*")
+TABLE = 8192
 # a U+2581 of the text itself must not become a space: it is set aside as a
 # character beyond Unicode's assigned ones, which only byte pieces cover
 _OWN = "\U0010fffe"
@@ -77,7 +77,30 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[""] = (self.score[p], (i,))
         self.raw = [self.text.get(i, b"") for i in range(sp.get_piece_size())]
-        self.cache: dict[tuple[str, int], list] = {}
+        # characters numbered, and the pairs that stand side by side in some piece
+        chars = sorted({ord(c) for p in self.id for c in p})
+        self.number = np.zeros(0x110000, np.int64)
+        self.number[chars] = np.arange(1, len(chars) + 1)
+        self.size = len(chars) + 1
+        pairs = {(self.number[ord(x)] * self.size + self.number[ord(y)]) for p in self.id for x, y in zip(p, p[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.inside = None
+        if self.size <= TABLE:
+            self.inside = np.zeros(self.size * self.size, bool)
+            self.inside[self.pairs] = True
+        self.young: dict[int, dict[str, tuple]] = {}
+        self.old: dict[int, dict[str, tuple]] = {}
+
+    def parts(self, body: str) -> list[str]:
+        """``body`` cut at the places that no piece spans."""
+        k = self.number[np.frombuffer(body.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        code = k[:-1] * self.size + k[1:]
+        if self.inside is not None:
+            joined = self.inside[code]
+        else:
+            joined = self.pairs[np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)] == code
+        at = (np.flatnonzero(~joined) + 1).tolist()
+        return [body[i:j] for i, j in zip([0, *at], [*at, len(body)])]
 
     def lattice(self, s: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For every end (start, score, ids) of the pieces that end there, and
@@ -133,25 +156,34 @@ class Pieces:
                 push(heap, (-(best[a] + sc + back), order, a, sc + back, (ids, path)))
         return out
 
-    def segment(self, s: str, n: int) -> Sequence[tuple[float, bytes, int]]:
-        got = self.cache.get((s, n))
+    def part(self, s: str, n: int) -> tuple:
+        """Scores and ids (bytes) of the ``n`` best segmentations of a part and
+        the loss from the first to the second: ``(score, ids, loss, scores, all_ids)``."""
+        old = self.old.get(n, {})
+        got = old.get(s)
         if got is None:
-            got = tuple([(sc, array("I", ids).tobytes(), len(ids)) for sc, ids in self.nbest(s, n)])
-            if len(s) <= LONG:
-                if len(self.cache) > CACHE:
-                    self.cache.clear()
-                self.cache[(s, n)] = got
+            best = self.nbest(s, n)
+            scores = tuple([sc for sc, _ in best])
+            ids = tuple([array("I", x).tobytes() for _, x in best])
+            got = (scores[0], ids[0], scores[0] - scores[1] if len(best) > 1 else float("inf"), scores, ids)
+        if len(s) <= LONG:
+            young = self.young.setdefault(n, {})
+            if len(young) >= CACHE:      # what was not met since the last turn is forgotten
+                self.old[n], self.young[n] = young, {}
+                young = self.young[n]
+            young[s] = got
         return got
 
 
-def best_sums(choices: list[list[float]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
-    """The ``n`` largest sums of one value from each descending list, with the
-    (list, place) of the values that aren't a list's first; best-first over
-    the losses against the best choice."""
-    total = sum([c[0] for c in choices])
-    loss_of = np.array([c[0] - c[1] if len(c) > 1 else np.inf for c in choices])
-    order = np.argsort(loss_of, kind="stable")[:n].tolist()
-    lists = [i for i in order if len(choices[i]) > 1]  # only lists with the least losses can be in the n best
+def best_sums(found: list[tuple], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The ``n`` largest sums of one score from each part, with the (part,
+    place) of the choices that aren't a part's first; best-first over the
+    losses against the best choice."""
+    total = sum([f[0] for f in found])
+    losses = np.array([f[2] for f in found])
+    order = np.argpartition(losses, n - 1)[:n] if len(losses) > n else np.arange(len(losses))
+    order = order[np.lexsort((order, losses[order]))].tolist()
+    lists = [i for i in order if len(found[i][3]) > 1]  # only parts with the least losses can be in the n best
     seen, out = {()}, []
     heap: list[tuple[float, tuple]] = [(0.0, ())]
     while heap and len(out) < n:
@@ -159,12 +191,12 @@ def best_sums(choices: list[list[float]], n: int) -> list[tuple[float, tuple[tup
         out.append((total - loss, moved))
         state = dict(moved)
         for i in lists:
-            k = state.get(i, 0) + 1
-            if k < len(choices[i]):
+            k, scores = state.get(i, 0) + 1, found[i][3]
+            if k < len(scores):
                 new = tuple(sorted({**state, i: k}.items()))
                 if new not in seen:
                     seen.add(new)
-                    heapq.heappush(heap, (loss + choices[i][k - 1] - choices[i][k], new))
+                    heapq.heappush(heap, (loss + scores[k - 1] - scores[k], new))
     return out
 
 
@@ -175,22 +207,28 @@ def pieces_of(path: str) -> Pieces:
     return _LOADED[path]
 
 
+def _search(text: str, p: Pieces, n: int) -> tuple[list[tuple], list[tuple]]:
+    body = SPACE + text.replace(SPACE, _OWN).replace(" ", SPACE)
+    young, part = p.young.setdefault(n, {}), p.part
+    get = young.get
+    found = [get(s) or part(s, n) for s in p.parts(body)]
+    return found, best_sums(found, n)
+
+
 def encode(text: str | None, path: str, n: int = NBEST) -> list[tuple[float, np.ndarray]]:
     """``(score, ids)`` of the ``n`` best segmentations, best first."""
     p = pieces_of(path)
     if not text:
         return [(0.0, np.zeros(0, dtype="<u4"))]
-    body = SPACE + text.replace(SPACE, _OWN).replace(" ", SPACE)
-    cache, segment = p.cache, p.segment
-    found = [cache.get((s, n)) or segment(s, n) for s in _SEGMENT.findall(body) if s]
-    first = [f[0][1] for f in found]
+    found, best = _search(text, p, n)
+    first = [f[1] for f in found]
     out = []
-    for sc, moved in best_sums([[x[0] for x in f] for f in found], n):
+    for sc, moved in best:
         ids = first
         if moved:
             ids = first.copy()
             for i, k in moved:
-                ids[i] = found[i][k][1]
+                ids[i] = found[i][4][k]
         out.append((sc, np.frombuffer(b"".join(ids), dtype="<u4")))
     return out
 
@@ -200,6 +238,27 @@ def decode(ids, path: str) -> str:
     return b"".join(map(raw.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
+def describe(text: str | None, path: str, n: int = NBEST) -> tuple:
+    """Pieces and CRC-32 of the best segmentation, scores and sizes of the
+    ``n`` best, whether all decode to the text.  The others differ from the best
+    in single parts: where these decode alike, so do the texts."""
+    p = pieces_of(path)
+    if not text:
+        return 0, zlib.crc32(b""), 0.0, [0.0], [0], True
+    found, best = _search(text, p, n)
+    raw, whole = p.raw, b"".join([f[1] for f in found])
+    size = len(whole) // 4
+
+    def said(ids: bytes) -> bytes:
+        return b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    fine = said(whole).decode("utf-8", "surrogatepass")[1:] == text
+    sizes = []
+    for _, moved in best:
+        sizes.append(size + sum((len(found[i][4][k]) - len(found[i][1])) // 4 for i, k in moved))
+        fine = fine and all(said(found[i][4][k]) == said(found[i][1]) for i, k in moved)
+    return size, zlib.crc32(whole), best[0][0], [sc for sc, _ in best], sizes, fine
+
+
 SCHEMA = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest_scores array<double>, nbest_pieces array<long>, round_trip boolean"
 
 
@@ -209,10 +268,7 @@ def _run(path: str, n: int):
             texts, ids = pdf["text"].tolist(), pdf["doc_id"]
             rows = []
             for a, b in text_slices(texts):
-                for t in texts[a:b]:
-                    best = encode(t, path, n)
-                    rows.append((len(best[0][1]), zlib.crc32(best[0][1].tobytes()), best[0][0], [x for x, _ in best],
-                                 [len(x) for _, x in best], all(decode(x, path) == (t or "") for _, x in best)))
+                rows.extend([describe(t, path, n) for t in texts[a:b]])
             out = pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "score", "nbest_scores", "nbest_pieces", "round_trip"])
             out.insert(0, "doc_id", ids.astype("Int64").to_numpy())
             yield out

@@ -170,10 +170,11 @@ def _windows(words: int, held: np.ndarray):
 
 
 def _signature_pairs(words: int):
-    """Windows sorted by (doc_id, c) to ``pair, doc_id, ks``: two functions that
-    follow each other in a ring, whose windows share ``width`` shingles with both
-    centres, and their distance.  Only windows within ``width`` places are
-    carried from batch to batch."""
+    """Windows sorted by (doc_id, c) to ``pair, doc_id``: two functions whose
+    windows share ``width`` shingles with both centres, and their distance, a third
+    of ``width`` at least: pairs far apart rarely lie in the part of a passage that
+    an earlier document holds.  Only windows within ``width`` places are carried
+    from batch to batch."""
     width = words - GRAM + 1
     mul = constants(2, 74)
 
@@ -195,16 +196,14 @@ def _signature_pairs(words: int):
                 if not len(left):
                     break
                 i, j = left, left + step
-                turn = (v["k"][j] - v["k"][i]) % HASHES
+                apart = v["c"][j] - v["c"][i] >= width // 3
                 lo, hi = np.maximum(v["l"][i], v["l"][j]), np.minimum(v["r"][i], v["r"][j])
-                ok = ((turn == 1) | (turn == HASHES - 1)) & (j >= seen) & (lo <= v["c"][i]) & (hi >= v["c"][j]) & (hi - lo + 1 >= width)
-                i, j, turn = i[ok], j[ok], turn[ok]
+                ok = apart & (v["k"][i] != v["k"][j]) & (j >= seen) & (lo <= v["c"][i]) & (hi >= v["c"][j]) & (hi - lo + 1 >= width)
+                i, j = i[ok], j[ok]
                 if len(i):
-                    i, j = np.where(turn == 1, i, j), np.where(turn == 1, j, i)
                     off = (v["c"][j] - v["c"][i] + (1 << 20)).astype(_U)
                     pair = mix(v["key"][i].astype(_U) * mul[0] + mix(v["key"][j].astype(_U) * mul[1] + off))
-                    yield pd.DataFrame({"pair": pair.astype(np.int64), "doc_id": v["doc_id"][i],
-                                        "ks": ((1 << v["k"][i]) | (1 << v["k"][j])).astype(np.int32)})
+                    yield pd.DataFrame({"pair": pair.astype(np.int64), "doc_id": v["doc_id"][i]})
                 step += 1
             tail = (v["doc_id"] == v["doc_id"][-1]) & (v["c"] > v["c"][-1] - width) if n else np.zeros(0, bool)
             old = {name: x[tail] for name, x in v.items()}
@@ -315,23 +314,20 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     off = F.col("c") - F.col("fc")
     lo = F.greatest("l", F.col("fl") + off, F.col("c") - (width - 1))
     hi = F.least("c", F.least("r", F.col("fr") + off) - (width - 1))
-    votes = (hits.withColumns({"off": off, "lo": lo, "hi": hi}).where("lo <= hi and doc_id <> source_id")
-             .groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks")))
-    votes = materialize(votes, "passage-votes")
-    near = votes.where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id")
+    near = (hits.withColumns({"off": off, "lo": lo, "hi": hi}).where("lo <= hi and doc_id <> source_id")
+            .groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
+            .where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id"))
     pairs = materialize(near.unionByName(_exact_pairs(shared)).distinct(), "passage-pairs")
     found = _checked(pairs, base, words)
     # what no passage found so far explains: by pairs of signatures
     open_ = _unexplained(shared, groups, found)
     twos = (open_.repartition("doc_id").sortWithinPartitions("doc_id", "c")
-            .mapInPandas(_signature_pairs(words), "pair long, doc_id long, ks int"))
+            .mapInPandas(_signature_pairs(words), "pair long, doc_id long"))
     twos = materialize(twos, "passage-twos")
     heads = materialize(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                         .where("source_id < last").select("pair", "source_id"), "passage-heads")
     again = bit_filter(twos, F.col("pair"), heads, "pair", 1 << 25).join(heads, "pair").where("doc_id <> source_id")
-    again = (again.select("doc_id", "source_id", "ks").unionByName(votes.select("doc_id", "source_id", "ks"))
-             .groupBy("doc_id", "source_id").agg(F.bit_or("ks").alias("ks")).where(F.bit_count("ks") >= NEEDED)
-             .join(pairs, ["doc_id", "source_id"], "left_anti").select("doc_id", "source_id"))
+    again = again.select("doc_id", "source_id").distinct().join(pairs, ["doc_id", "source_id"], "left_anti")
     return found.unionByName(_checked(materialize(again, "passage-again"), base, words))
 
 
