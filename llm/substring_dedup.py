@@ -26,8 +26,8 @@ linear work each, never all pairs of a group:
    part of a passage shares a pair only if both centres lie in that part, so
    passages that are merely similar find each other behind it.
 
-Windows whose signature no other document has are dropped inside the worker by
-a bitmap (1 to 32 MB).  The two whole texts confirm a candidate: spans are
+Windows are computed and written once; those whose signature no other document
+has are dropped by a bitmap of fixed size.  The two whole texts confirm a candidate: spans are
 stretches in which every ``L`` shingles in a row have a Jaccard similarity of
 0.8 or more with shingles of the source.
 
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from eventsurv.sources.materialize import materialize
 from llm.tables import bit_filter, bit_flag, bit_table, collected_bits, has_bit, hide_extra, key_bits, small_batches, text_slices
-from llm.words import constants, mix, shingles, utf8, word_hashes
+from llm.words import constants, mix, powers, shingles, utf8, word_hashes
 
 GRAM = 5
 WORDS = 50
@@ -118,8 +118,15 @@ def run_hashes(s: np.ndarray, width: int) -> np.ndarray:
     return mix(h[:len(h) - rest] * mul + h[rest:]) if rest else h
 
 
-def _text_windows(batches, words: int):
-    """Per slice of texts and function: ids, shingles and windows."""
+def content_hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each ``s[start:end]``, in their order, by prefix sums."""
+    p, inv = powers(len(s) + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(s * p[:len(s)], dtype=_U)])
+    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(_U))
+
+
+def _text_windows(batches, words: int, functions: int = HASHES):
+    """Per slice of texts and function: shingles, signatures, ids and windows."""
     width = words - GRAM + 1
     mul, flip = constants(HASHES, 71), constants(HASHES, 72)
     for pdf in batches:
@@ -132,40 +139,42 @@ def _text_windows(batches, words: int):
             begin, sizes = w.bounds[long], np.diff(w.bounds)[long] - GRAM + 1
             ends = np.cumsum(sizes)
             s = shingles(w.hashes, GRAM)[np.arange(ends[-1]) + np.repeat(begin - (ends - sizes), sizes)]
-            for k in range(HASHES):
+            for k in range(functions):
                 x = (s ^ flip[k]) * mul[k]
                 left, centre, right = compact_windows(x, width, ends)
                 text = np.searchsorted(ends, centre, side="right")
-                yield k, s, mix(x[centre] + _U(k)), ids[a + long[text]], left, centre, right, (ends - sizes)[text]
+                content = np.zeros(len(centre), _U)
+                if k == 0:  # all runs of ``width`` shingles that hold the centre
+                    content = content_hashes(s, np.maximum(left, centre - width + 1), np.minimum(right, centre + width - 1) + 1)
+                yield k, s, mix(x[centre] + _U(k)), content, ids[a + long[text]], left, centre, right, (ends - sizes)[text]
 
 
-def _signatures(words: int):
-    """``key, doc_id`` of every window, once per text."""
+def _windows(words: int):
+    """All windows; ``content`` (first function only): the hash of the shingles
+    in reach of the centre."""
     def run(batches):
-        for _, _, key, ids, *_ in _text_windows(batches, words):
-            yield pd.DataFrame({"key": key.astype(np.int64), "doc_id": ids}).drop_duplicates()
+        for k, _, key, content, ids, left, centre, right, base in _text_windows(batches, words):
+            yield pd.DataFrame({"key": key.astype(np.int64), "doc_id": ids, "k": np.full(len(ids), k, np.int32),
+                                "l": (left - base).astype(np.int32), "c": (centre - base).astype(np.int32), "r": (right - base).astype(np.int32),
+                                "content": pd.arrays.IntegerArray(content.astype(np.int64), np.full(len(ids), k > 0))})
     return run
 
 
-def _windows(words: int, held: np.ndarray):
-    """The windows whose signature may be another document's too; those of the
-    first function with the hashes of the runs of ``width`` shingles that hold
-    the centre."""
+def _runs(words: int, held: np.ndarray):
+    """``run, doc_id``: the hashes of all runs of ``width`` shingles that hold the
+    centre of a window of the first function whose id is in the bitmap."""
     width = words - GRAM + 1
 
     def run(batches):
-        for k, s, key, ids, left, centre, right, base in _text_windows(batches, words):
-            at = np.flatnonzero(has_bit(held, key))
-            if k == 0:
-                runs_of = run_hashes(s, width).astype(np.int64)
+        for _, s, key, content, ids, left, centre, right, _ in _text_windows(batches, words, 1):
+            at = np.flatnonzero(has_bit(held, key ^ content ^ ids.astype(_U)))
             if not len(at):
                 continue
-            key, ids, left, centre, right, base = (v[at] for v in (key, ids, left, centre, right, base))
-            out = pd.DataFrame({"key": key.astype(np.int64), "doc_id": ids, "k": np.full(len(at), k, np.int32), "l": (left - base).astype(np.int32),
-                                "c": (centre - base).astype(np.int32), "r": (right - base).astype(np.int32)})
-            spans = zip(np.maximum(left, centre - width + 1).tolist(), (np.minimum(centre, right - width + 1) + 1).tolist(), strict=True)
-            out["runs"] = pd.Series([None] * len(out) if k else [runs_of[i:j] for i, j in spans], dtype=object)
-            yield out
+            runs = run_hashes(s, width).astype(np.int64)
+            start = np.maximum(left[at], centre[at] - width + 1)
+            n = np.minimum(centre[at], right[at] - width + 1) + 1 - start
+            places = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield pd.DataFrame({"run": runs[places], "doc_id": np.repeat(ids[at], n)})
     return run
 
 
@@ -263,18 +272,19 @@ def _checked(pairs: DataFrame, base: DataFrame, words: int) -> DataFrame:
     return materialize(both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS), "passage-found")
 
 
-def _exact_pairs(shared: DataFrame) -> DataFrame:
+def _exact_pairs(shared: DataFrame, base: DataFrame, words: int) -> DataFrame:
     """Every document that has a run, with the first document that has it."""
-    # windows with equal runs are a class: its first document holds them all, and only
-    # that one's runs are compared, where other classes have the signature too
-    ones = shared.where("k = 0").withColumn("runs_hash", F.xxhash64("runs"))
-    classes = materialize(ones.groupBy("key", "runs_hash").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")), "passage-classes")
-    copied = classes.where("source_id < last").select("key", "runs_hash", "source_id")
-    exact = ones.select("key", "runs_hash", "doc_id").join(copied, ["key", "runs_hash"]).where("doc_id <> source_id").select("doc_id", "source_id")
-    mixed = classes.groupBy("key").agg(F.min("runs_hash").alias("_a"), F.max("runs_hash").alias("_b")).where("_a < _b").select("key")
-    firsts = materialize(classes.join(mixed, "key").select(F.xxhash64("key", "runs_hash", "source_id").alias("id")), "passage-firsts")
-    runs = materialize(bit_filter(ones, F.xxhash64("key", "runs_hash", "doc_id"), firsts, "id", 1 << 25)
-                       .select(F.explode("runs").alias("run"), "doc_id"), "passage-runs")
+    # windows with equal content are a class: its first document holds all their runs, and
+    # only that one's runs are compared, where other classes have the signature too
+    ones = shared.where("k = 0").select("key", "content", "doc_id")
+    classes = materialize(ones.groupBy("key", "content").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")), "passage-classes")
+    copied = classes.where("source_id < last").select("key", "content", "source_id")
+    exact = ones.join(copied, ["key", "content"]).where("doc_id <> source_id").select("doc_id", "source_id")
+    mixed = classes.groupBy("key").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).where("_a < _b").select("key")
+    firsts = materialize(classes.join(mixed, "key").select(F.col("key").bitwiseXOR(F.col("content")).bitwiseXOR(F.col("source_id")).alias("id"),
+                                                           F.col("source_id").alias("doc")), "passage-firsts")
+    held = collected_bits(firsts, "id", key_bits(firsts.count()))
+    runs = materialize(bit_filter(base, F.col("doc_id"), firsts, "doc", 1 << 25).mapInPandas(_runs(words, held), "run long, doc_id long"), "passage-runs")
     holders = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                           .where("source_id < last").select("run", "source_id"), "passage-holders")
     return exact.unionByName(bit_filter(runs, F.col("run"), holders, "run", 1 << 25).join(holders, "run")
@@ -285,7 +295,7 @@ def _unexplained(shared: DataFrame, groups: DataFrame, found: DataFrame) -> Data
     """Windows of signatures that three windows or more share, outside the
     passages found so far; signatures of two were compared already."""
     crowded = groups.where("n > 2").select("key")
-    open_ = bit_filter(shared.drop("runs"), F.col("key"), crowded, "key", 1 << 25)
+    open_ = bit_filter(shared.drop("content"), F.col("key"), crowded, "key", 1 << 25)
     spans = found.select(F.col("doc_id").alias("_id"), "start_word", "end_word").distinct()
     flagged = bit_flag(open_, F.col("doc_id"), bit_table(spans, "_id", 1 << 25), "_maybe", 1 << 25)
     doubt = flagged.where("_maybe").drop("_maybe").join(
@@ -301,23 +311,23 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     small_batches(spark)
     width = words - GRAM + 1
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    keys = (base.mapInPandas(_signatures(words), "key long, doc_id long").groupBy("key")
-            .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
+    windows = materialize(base.mapInPandas(_windows(words), "key long, doc_id long, k int, l int, c int, r int, content long"), "passage-windows")
+    keys = (windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
+            .where("a < b").select("key", "n"))
     keys = materialize(keys, "passage-keys")
-    held = collected_bits(keys, "key", key_bits(keys.count()))
-    shared = materialize(base.mapInPandas(_windows(words, held), "key long, doc_id long, k int, l int, c int, r int, runs array<long>"), "passage-windows")
+    shared = materialize(bit_filter(windows, F.col("key"), keys, "key", 1 << 25), "passage-shared")
     first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
     groups = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"), first).where("last > f.doc_id")
               .select("key", "n", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))
     groups = materialize(groups, "passage-groups")
-    hits = shared.drop("runs").join(groups.drop("n"), "key")
+    hits = shared.drop("content").join(groups.drop("n"), "key")
     off = F.col("c") - F.col("fc")
     lo = F.greatest("l", F.col("fl") + off, F.col("c") - (width - 1))
     hi = F.least("c", F.least("r", F.col("fr") + off) - (width - 1))
     near = (hits.withColumns({"off": off, "lo": lo, "hi": hi}).where("lo <= hi and doc_id <> source_id")
             .groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
             .where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id"))
-    pairs = materialize(near.unionByName(_exact_pairs(shared)).distinct(), "passage-pairs")
+    pairs = materialize(near.unionByName(_exact_pairs(shared, base, words)).distinct(), "passage-pairs")
     found = _checked(pairs, base, words)
     # what no passage found so far explains: by pairs of signatures
     open_ = _unexplained(shared, groups, found)

@@ -39,7 +39,8 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=_U) * _U(_BASE) + _U(seed)) | _U(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
     if len(_POW["p"]) < n:
         m = max(n, SLICE + 4096)
         for key, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
@@ -82,7 +83,7 @@ def word_hashes(texts: list[str | None]) -> Words:
         edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(s):
-            p, inv = _powers(len(part))
+            p, inv = powers(len(part))
             c = np.cumsum((_LOWER[part].astype(_U) + _U(1)) * p, dtype=_U)
             before = np.where(s > 0, c[s - 1], _U(0))
             hs.append(mix((c[e - 1] - before) * inv[s] + (e - s).astype(_U)))
