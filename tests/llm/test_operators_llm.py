@@ -379,3 +379,29 @@ def test_passages_equal_brute_force_on_a_small_table(spark, corpus):
     assert {r["doc_id"] for r in got} == {i for i, _ in spans}
     for r in got:
         assert (r["start_word"], r["end_word"] - 4) in {(p, q) for p, q, _ in spans[r["doc_id"], r["source_id"]]}
+
+
+def test_packing_fills_windows_to_the_target_shares(spark):
+    rng = random.Random(13)
+    rows = [(i, words(rng, 60), "ab"[i % 2] if i % 5 else "c") for i in range(400)]
+    targets, window, quantum = {"a": 0.6, "b": 0.1}, 4096, 256
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    pieces = packing.pack(docs, BPE, length=512, window=window, quantum=quantum, targets=targets)
+    pieces = spark.createDataFrame(pieces.collect(), pieces.schema)
+    got = pieces.collect()
+    for d in {r["doc_id"] for r in got}:                                   # every id once
+        parts = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == d)
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))
+        assert sum(n for _, n in parts) == next(r["doc_tokens"] for r in got if r["doc_id"] == d)
+    deficits = packing.window_deficits(pieces, targets, window).collect()
+    size = {s: sum(r["length"] for r in got if r["source"] == s) for s in "abc"}
+    weight = {"a": 0.6, "b": 0.1, "c": size["c"] / sum(size.values())}
+    share = {s: w / sum(weight.values()) for s, w in weight.items()}
+    assert all(abs(r["deficit"]) <= quantum for r in deficits)             # carried, within a quantum
+    assert abs(sum(r["deficit"] for r in deficits if r["window"] == max(x["window"] for x in deficits))) < 1
+    dry = min(size[s] / share[s] for s in share)                           # until a queue ends: the plain shares
+    for r in deficits:
+        if (r["window"] + 1) * window <= dry:
+            assert r["due"] == pytest.approx(share[r["source"]] * window) and abs(r["served"] - r["due"]) <= 2 * quantum
+    with pytest.raises(ValueError):
+        packing.pack(docs, BPE, targets={"a": 0.0}).collect()
