@@ -121,16 +121,6 @@ def wide_stats(df: DataFrame, cols: list[str], keys=KEYS) -> DataFrame:
     return df.sparkSession.createDataFrame(data, T.StructType(fields))
 
 
-def _stats_exprs(num_cols: list[str]):
-    exprs = []
-    for c in num_cols:
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)                      # NaN -> NULL, ignored like sklearn
-        exprs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std"),
-                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    return exprs
-
-
 @dataclass
 class PreprocessModel:
     keys: list[str]
@@ -158,7 +148,8 @@ class PreprocessModel:
         """The columns dropped per transition (zero variance after scaling)."""
         return self.scaler_stats().where(~F.col("keep")).select(*self.keys, "column")
 
-    def _encode(self, df: DataFrame) -> DataFrame:
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Rare levels grouped and, with ``include_dummies``, the indicator columns."""
         df = group_rare(df, self.top, self.cat_cols, self.keys)
         if not self.include_dummies or not self.dummy_cols:
             return df
@@ -178,7 +169,7 @@ class PreprocessModel:
         """Encode, scale with the training statistics of the row's
         transition, fill NULL with 0, zero the dropped columns.  Test rows get
         the training columns; a training column missing from ``df`` is 0."""
-        df = self._encode(df)
+        df = self.encode(df)
         present = set(df.columns)
         st = self.stats
         j = df.join(F.broadcast(st), self.keys, "inner")
@@ -230,7 +221,7 @@ class Preprocessor:
                 dummy_cols = sorted(names)
         model = PreprocessModel(keys, cat_cols, num_cols, dummy_cols, top, first_level, None,
                                 self.include_dummies)
-        encoded = model._encode(train) if (self.include_dummies and dummy_cols) else train
+        encoded = model.encode(train) if (self.include_dummies and dummy_cols) else train
         feature_cols = num_cols + dummy_cols
         stats = wide_stats(encoded, feature_cols, keys)
         model.stats = stats

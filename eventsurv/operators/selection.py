@@ -7,6 +7,11 @@ columns x columns (or transitions x columns) numbers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +25,53 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+def _moments(means: np.ndarray):
+    """Per task the sums over rows where both columns exist, of every pair:
+    rows, x, x^2 and x y, of the values less the column means."""
+    p = len(means)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p) - means
+            here = (~np.isnan(x)).astype(float)
+            x = np.where(np.isnan(x), 0.0, x)
+            total += np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+        yield pa.RecordBatch.from_pydict({"src": pa.array([TaskContext.get().partitionId()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+    return run
+
+
+def _add(key, table):
+    total = sum(np.frombuffer(b.as_py()) for b in table.column("sums"))
+    return pa.table({"src": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def correlation_matrix(df: DataFrame, cols: list[str], fan_in: int = 256) -> DataFrame:
     """Pearson correlation of every pair (pairwise complete rows), long form
-    ``(col_a, col_b, corr)`` with ``col_a`` before ``col_b`` in ``cols``."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                        F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs]))
-    return wide.select(rows.alias("_p")).select("_p.*")
+    ``(col_a, col_b, corr)`` with ``col_a`` before ``col_b`` in ``cols``; NULL
+    where a column does not vary.  Matrix products of row blocks inside the
+    tasks, one columns x columns result; tasks' sums meet in two steps."""
+    spark = df.sparkSession
+    p = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    means = np.array([0.0 if m is None else m for m in means])
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols])
+    parts = df.select(x.alias("x")).mapInArrow(_moments(means), "src int, sums binary")
+    for step in (fan_in, 1):
+        parts = parts.withColumn("src", F.col("src") % step).groupBy("src").applyInArrow(_add, "src int, sums binary")
+    rows = parts.collect()
+    n, sx, sxx, sxy = np.frombuffer(rows[0]["sums"]).reshape(4, p, p) if rows else np.zeros((4, p, p))
+    out = []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = sxy - sx * sx.T / n                      # sx[i, j]: sum of x_i where x_j exists
+        var = sxx - sx * sx / n
+        var[var <= 1e-12 * (sxx + n * means[:, None] ** 2)] = 0.0
+        r = cov / np.sqrt(var * var.T)
+    for i in range(p):
+        for j in range(i + 1, p):
+            flat = n[i, j] < 2 or var[i, j] == 0 or var[j, i] == 0
+            out.append((cols[i], cols[j], None if flat else float(r[i, j])))
+    return spark.createDataFrame(out, "col_a string, col_b string, corr double")
 
 
 def label_correlations(df: DataFrame, cols: list[str], label: Column, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventsurv.functions.features import ENGINEERED_FEATURES, add_transition_features
-from eventsurv.operators.history import ACTIVITY_COLUMNS, BASE_NUMERIC, USER_HISTORY_COLUMNS
+from eventsurv.operators.history import BASE_NUMERIC
 from eventsurv.operators.preprocess import OTHER_LEVEL, Preprocessor, group_rare, level_counts, top_levels
 from eventsurv.operators.selection import correlation_matrix, label_correlations, project_by_ordinal, select_long
 from eventsurv.operators.transitions import KEYS
@@ -97,6 +97,23 @@ def q_one_hot_drop_first(spark, sf_dir):
     return g.select(*KEYS, "row_id", "split", hot.alias("hot_column"))
 
 
+@query("one_hot_counts", with_all() + _COUNTS + f"""
+, lv AS (SELECT {K}, min(category_grouped) AS first_level FROM grouped WHERE split = 'train' GROUP BY ALL)
+, names AS (SELECT DISTINCT g.category_grouped AS level FROM grouped g JOIN lv USING (index_event, outcome_event)
+            WHERE g.split = 'train' AND g.category_grouped <> lv.first_level)
+, sides AS (SELECT {K}, split, count(*) AS n_rows FROM grouped GROUP BY ALL)
+, ones AS (SELECT g.index_event, g.outcome_event, g.split, g.category_grouped AS level, count(*) AS n FROM grouped g JOIN lv USING (index_event, outcome_event)
+           WHERE g.category_grouped <> lv.first_level GROUP BY ALL)
+SELECT s.index_event, s.outcome_event, s.split, 'category__' || n.level AS "column", s.n_rows, coalesce(o.n, 0) AS n_ones
+FROM sides s CROSS JOIN names n LEFT JOIN ones o USING (index_event, outcome_event, split, level)""")
+def q_one_hot_counts(spark, sf_dir):
+    """the indicator columns themselves: rows and ones of each, per transition and side."""
+    t = transf(spark, sf_dir).select(*KEYS, "row_id", "split", "category")
+    model = Preprocessor(include_dummies=True).fit(t.where(F.col("split") == "train"))
+    wide = model.encode(t).groupBy(*KEYS, "split").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(F.col(f"`{c}`")).cast("long").alias(c) for c in model.dummy_cols])
+    return wide.unpivot([*KEYS, "split", "n_rows"], [F.col(f"`{c}`") for c in model.dummy_cols], "column", "n_ones").select(*KEYS, "split", "column", "n_rows", "n_ones")
+
+
 # --- A5 / A6 / F45 / F46 / P11 ---------------------------------------------------
 def _stats_sql() -> str:
     aggs = []
@@ -167,7 +184,7 @@ def _corr(a: str, b: str) -> str:
 
 
 # --- A13: Pearson correlations (pairwise complete rows) ---------------------------
-CORR_COLUMNS = USER_HISTORY_COLUMNS + ACTIVITY_COLUMNS
+CORR_COLUMNS = BASE_NUMERIC
 
 
 @query("correlations", f"WITH {features_cte()}\n, w AS (SELECT "
@@ -218,24 +235,21 @@ def q_topn_features(spark, sf_dir):
 
 
 @query("reduced_dataset", with_all() + _label_corr_sql() + f"""
-, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY abs(r) DESC, feature) AS rank FROM sel)
-          WHERE rank <= 3)
 , lng AS (SELECT * FROM (SELECT index_event, outcome_event, row_id, split, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in NUMERIC)}
                    FROM transf) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(NUMERIC)})))
 SELECT l.index_event, l.outcome_event, l.row_id, l.split, l.feature, l.value
-FROM lng l SEMI JOIN top t ON t.index_event = l.index_event AND t.outcome_event = l.outcome_event AND t.feature = l.feature""")
+FROM lng l SEMI JOIN sel t ON t.index_event = l.index_event AND t.outcome_event = l.outcome_event AND t.feature = l.feature""")
 def q_reduced_dataset(spark, sf_dir):
     """Train and test rows projected to each transition's selected
     columns (long form; the selection is joined with a left semi join)."""
-    s = _selection(spark, sf_dir)
-    w = Window.partitionBy(*KEYS).orderBy(F.abs("r").desc(), F.col("feature").asc())
-    top = s.select(*KEYS, "feature", F.row_number().over(w).alias("rank")).where(F.col("rank") <= 3)
-    return select_long(transf(spark, sf_dir), top, NUMERIC, KEYS)
+    return select_long(transf(spark, sf_dir), _selection(spark, sf_dir), NUMERIC, KEYS)
 
 
 # --- P6: projection by ordinal positions (labels first) -----------------------------
 # --- fixed values ------------------------------------------------------------------
-ORDINAL_ORDER = [77, 0, 5, 11, 23, 48, 73, 74, 75, 76]   # positions in BASE_NUMERIC
+ORDINAL_ORDER = [7, 69, 53, 45, 6, 19, 65, 73, 2, 36, 74, 26, 42, 43, 3, 52, 4, 67, 17, 8, 37, 64, 38, 21, 39, 9, 1, 35, 31, 66, 28, 14, 30,
+                 76, 13, 70, 40, 33, 24, 23, 15, 49, 50, 55, 27, 34, 16, 0, 12, 61, 20, 18, 48, 29, 77, 62, 44, 51, 47, 46, 72, 58, 41, 56,
+                 10, 75, 63, 22, 11, 25, 71, 60, 68, 32, 54, 59, 5, 57]   # positions in BASE_NUMERIC
 # -----------------------------------------------------------------------------------
 
 

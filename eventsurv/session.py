@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="eventsurv-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python files beside this package to the workers, once per
+    application, so that tasks find them wherever the job was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="eventsurv-code-"), "eventsurv_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(ROOT):
+            inside = os.path.relpath(folder, ROOT)
+            if inside != "." and inside.split(os.sep)[0] not in ("eventsurv", "llm"):
+                continue
+            for f in files:
+                if f.endswith(".py") and (inside != "." or f == "corpus_pipeline.py"):
+                    z.write(os.path.join(folder, f), os.path.normpath(os.path.join(inside, f)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
