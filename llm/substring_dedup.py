@@ -17,14 +17,16 @@ linear work each, never all pairs of a group:
    position).  Joined windows are intervals aligned by their centres and must
    have ``L`` shingles in common room; a pair (document, source) that does so
    under ``NEEDED`` of the functions is a candidate.
-2. Each run of ``L`` shingles in a shared window of the first function is hashed,
-   and every document that has the run is a candidate with the first document
-   that has it: no exact repeat is missed, whatever earlier documents hold.
-3. Windows that no confirmed passage explains are joined again by *pairs* of
-   signatures: two functions whose windows have ``L`` shingles in common room,
-   with the distance of their centres.  An earlier document that holds only a
-   part of a passage shares a pair only if both centres lie in that part, so
-   passages that are merely similar find each other behind it.
+2. Windows whose centre no confirmed passage covers are searched again.  Each
+   run of ``L`` shingles in such a window of the first function is hashed, and
+   every document that has the run is a candidate with the first document that
+   has it: no exact repeat outside the passages found so far is missed, whatever
+   earlier documents hold.
+3. They are also joined by *pairs* of signatures: two functions whose windows
+   have ``L`` shingles in common room, with the distance of their centres.  An
+   earlier document that holds only a part of a passage shares a pair only if
+   both centres lie in that part, so passages that are merely similar find each
+   other behind it.
 
 Windows are computed and written once; those whose signature no other document
 has are dropped by a bitmap of fixed size.  The two whole texts confirm a candidate: spans are
@@ -182,7 +184,8 @@ def _signature_pairs(words: int):
     """Windows sorted by (doc_id, c) to ``pair, doc_id``: two functions whose
     windows share ``width`` shingles with both centres, and their distance, a third
     of ``width`` at least: pairs far apart rarely lie in the part of a passage that
-    an earlier document holds.  Only windows within ``width`` places are carried
+    an earlier document holds.  A window is paired with the nearest such window
+    of each other function.  Only windows within ``width`` places are carried
     from batch to batch."""
     width = words - GRAM + 1
     mul = constants(2, 74)
@@ -197,7 +200,7 @@ def _signature_pairs(words: int):
                 seen = len(old["c"])
                 v = {n: np.concatenate([old[n], v[n]]) for n in names}
             n, step = len(v["c"]), 1
-            left = np.arange(n)
+            left, taken = np.arange(n), np.zeros((n, HASHES), bool)
             while True:
                 left = left[left + step < n]
                 # a row out of reach at one step is out of reach at all later ones
@@ -209,7 +212,10 @@ def _signature_pairs(words: int):
                 lo, hi = np.maximum(v["l"][i], v["l"][j]), np.minimum(v["r"][i], v["r"][j])
                 ok = apart & (v["k"][i] != v["k"][j]) & (j >= seen) & (lo <= v["c"][i]) & (hi >= v["c"][j]) & (hi - lo + 1 >= width)
                 i, j = i[ok], j[ok]
+                first = ~taken[i, v["k"][j]]  # of every other function the nearest only
+                i, j = i[first], j[first]
                 if len(i):
+                    taken[i, v["k"][j]] = True
                     off = (v["c"][j] - v["c"][i] + (1 << 20)).astype(_U)
                     pair = mix(v["key"][i].astype(_U) * mul[0] + mix(v["key"][j].astype(_U) * mul[1] + off))
                     yield pd.DataFrame({"pair": pair.astype(np.int64), "doc_id": v["doc_id"][i]})
@@ -272,11 +278,11 @@ def _checked(pairs: DataFrame, base: DataFrame, words: int) -> DataFrame:
     return materialize(both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS), "passage-found")
 
 
-def _exact_pairs(shared: DataFrame, base: DataFrame, words: int) -> DataFrame:
-    """Every document that has a run, with the first document that has it."""
+def _exact_pairs(open_: DataFrame, base: DataFrame, words: int) -> DataFrame:
+    """Every document that has a run in an open window, with the first document that has it."""
     # windows with equal content are a class: its first document holds all their runs, and
     # only that one's runs are compared, where other classes have the signature too
-    ones = shared.where("k = 0").select("key", "content", "doc_id")
+    ones = open_.where("k = 0").select("key", "content", "doc_id")
     classes = materialize(ones.groupBy("key", "content").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")), "passage-classes")
     copied = classes.where("source_id < last").select("key", "content", "source_id")
     exact = ones.join(copied, ["key", "content"]).where("doc_id <> source_id").select("doc_id", "source_id")
@@ -291,18 +297,17 @@ def _exact_pairs(shared: DataFrame, base: DataFrame, words: int) -> DataFrame:
                              .where("doc_id <> source_id").select("doc_id", "source_id"))
 
 
-def _unexplained(shared: DataFrame, groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Windows of signatures that three windows or more share, outside the
-    passages found so far; signatures of two were compared already."""
-    crowded = groups.where("n > 2").select("key")
-    open_ = bit_filter(shared.drop("content"), F.col("key"), crowded, "key", 1 << 25)
+def _unexplained(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows with their centre outside the passages found so far, of
+    signatures that such windows of two documents share."""
     spans = found.select(F.col("doc_id").alias("_id"), "start_word", "end_word").distinct()
-    flagged = bit_flag(open_, F.col("doc_id"), bit_table(spans, "_id", 1 << 25), "_maybe", 1 << 25)
+    flagged = bit_flag(shared, F.col("doc_id"), bit_table(spans, "_id", 1 << 25), "_maybe", 1 << 25)
     doubt = flagged.where("_maybe").drop("_maybe").join(
         spans, (F.col("doc_id") == F.col("_id")) & (F.col("c") >= F.col("start_word")) & (F.col("c") + GRAM <= F.col("end_word")), "left_anti")
     left = materialize(flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(doubt), "passage-open")
+    # a source's own windows are open too: they stay where a document still has the signature
     alive = left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    return left.join(materialize(alive, "passage-alive"), "key", "left_semi")
+    return materialize(left.join(alive, "key", "left_semi"), "passage-alive")
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -327,18 +332,20 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     near = (hits.withColumns({"off": off, "lo": lo, "hi": hi}).where("lo <= hi and doc_id <> source_id")
             .groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
             .where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id"))
-    pairs = materialize(near.unionByName(_exact_pairs(shared, base, words)).distinct(), "passage-pairs")
+    pairs = materialize(near, "passage-pairs")
     found = _checked(pairs, base, words)
-    # what no passage found so far explains: by pairs of signatures
-    open_ = _unexplained(shared, groups, found)
-    twos = (open_.repartition("doc_id").sortWithinPartitions("doc_id", "c")
+    # what no passage found so far explains: by runs and by pairs of signatures
+    open_ = _unexplained(shared, found)
+    crowded = open_.join(groups.where("n > 2").select("key"), "key", "left_semi")      # signatures of two were compared already
+    twos = (crowded.drop("content").repartition("doc_id").sortWithinPartitions("doc_id", "c")
             .mapInPandas(_signature_pairs(words), "pair long, doc_id long"))
     twos = materialize(twos, "passage-twos")
     heads = materialize(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                         .where("source_id < last").select("pair", "source_id"), "passage-heads")
     again = bit_filter(twos, F.col("pair"), heads, "pair", 1 << 25).join(heads, "pair").where("doc_id <> source_id")
-    again = again.select("doc_id", "source_id").distinct().join(pairs, ["doc_id", "source_id"], "left_anti")
-    return found.unionByName(_checked(materialize(again, "passage-again"), base, words))
+    again = again.select("doc_id", "source_id").unionByName(_exact_pairs(open_, base, words)).distinct()
+    again = materialize(again.join(pairs, ["doc_id", "source_id"], "left_anti"), "passage-again")
+    return found.unionByName(_checked(again, base, words))
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
