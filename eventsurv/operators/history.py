@@ -17,22 +17,17 @@ All frames are RANGE frames on the microsecond time, so "earlier" and
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventsurv.functions.calendar import calendar_columns, category_column, event_columns
 from eventsurv.sources.events import HISTORY_ACTIONS, OUTCOME_ACTIONS
+from eventsurv.sources.materialize import materialize
 
 DAY_US = 86_400_000_000
 SECOND_US = 1_000_000
 AMOUNT_DECIMAL = "decimal(18,6)"
-# Target rows per market bucket and the cap on the number of market buckets.
-# The cap is what makes the bucket-carry table safe to broadcast.
-MARKET_TARGET_ROWS = 4_000_000
-MARKET_MAX_BUCKETS = 200_000
-
 STATS = ["Count", "Sum", "SumUSD", "AvgAmount", "AvgAmountUSD"]
 ACTIONS = list(HISTORY_ACTIONS)          # Borrow Deposit Repay Withdraw Liquidated
 
@@ -74,15 +69,24 @@ def _stat_columns(prefix: str, cnt: dict[str, Column], tot: dict[str, Column]) -
 # per-user scan: D1 next outcome, D2 user history, D6 active days, D7 recency
 # ---------------------------------------------------------------------------
 
-def user_scan(ev: DataFrame) -> DataFrame:
+def _ranged(ev: DataFrame, order: list[str], name: str, partitions: int | None) -> DataFrame:
+    """``ev`` in ranges of ``order``, with the range's number ``_pid``; written
+    once, so that a recompute cannot move rows."""
+    n = partitions or int(ev.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(ev.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), name)
+
+
+def user_scan(ev: DataFrame, partitions: int | None = None) -> DataFrame:
     """Adds user history, activity and next-outcome times to every event.
 
-    Input needs ``user_id, ts_us, action, value``.  One shuffle of the rows
-    on ``(user_id, day)``; the per-day table (one row per active user-day) is
-    the only other data that moves.
+    Input needs ``user_id, ts_us, action, value``.  A prefix scan over ranges of
+    (user, time): windows inside a range, and for the users that a range
+    boundary cuts -- fewer than there are ranges -- the totals of their other
+    ranges as carries.  So a user, a user-day or a burst of any size is spread by
+    time.  Active days come from the table of distinct user-days.
     """
-    ev = ev.withColumn("day", F.expr(f"ts_us div {DAY_US}"))
-    part = ["user_id", "day"]
+    ev = _ranged(ev.withColumn("day", F.expr(f"ts_us div {DAY_US}")), ["user_id", "ts_us"], "user-ranges", partitions)
+    part = ["_pid", "user_id"]
     w_pre = Window.partitionBy(*part).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
     # "Later" rows use a reversed order with an unbounded-preceding frame: it
     # grows in O(n), where an unbounded-following frame is redone per row.
@@ -97,34 +101,40 @@ def user_scan(ev: DataFrame) -> DataFrame:
         *[F.min(F.when(_is(o), F.col("ts_us"))).over(w_suf).alias(f"_ni_{o}") for o in OUTCOME_ACTIONS],
     )
 
-    # one row per (user, day); the rows are already clustered on these keys
-    days = inner.groupBy(*part).agg(
+    # one row per range and user; only users in several ranges carry anything
+    totals = ev.groupBy(*part).agg(
         *[F.count(F.when(_is(a), 1)).alias(f"_c_{a}") for a in ACTIONS],
         *[F.sum(F.when(_is(a), _amount())).alias(f"_s_{a}") for a in ACTIONS],
         F.min("ts_us").alias("_mn"),
         F.max("ts_us").alias("_mx"),
         *[F.min(F.when(_is(o), F.col("ts_us"))).alias(f"_n_{o}") for o in OUTCOME_ACTIONS],
     )
-    wb_pre = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    wb_suf = Window.partitionBy("user_id").orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carry = days.select(
+    wb_pre = Window.partitionBy("user_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    wb_suf = Window.partitionBy("user_id").orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
         *part,
+        F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("_ranges"),
         *[F.sum(f"_c_{a}").over(wb_pre).alias(f"_cc_{a}") for a in ACTIONS],
         *[F.sum(f"_s_{a}").over(wb_pre).alias(f"_cs_{a}") for a in ACTIONS],
         F.min("_mn").over(wb_pre).alias("_first_c"),
         F.max("_mx").over(wb_pre).alias("_prev_c"),
         *[F.min(f"_n_{o}").over(wb_suf).alias(f"_nc_{o}") for o in OUTCOME_ACTIONS],
-        *[F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("day").rangeBetween(-n, -1)).alias(name)
-          for name, n in ACTIVE_DAY_WINDOWS.items()],
-    )
+    ).where("_ranges > 1").drop("_ranges")
 
-    j = inner.join(carry, part, "inner")
+    # ranges are contiguous: at most two cut users in each, so the carries are broadcast with that bound
+    j = inner.join(F.broadcast(carry), part, "left")
+    active = ev.select("user_id", "day").distinct().select(
+        "user_id", "day",
+        *[F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("day").rangeBetween(-n, -1)).alias(name)
+          for name, n in ACTIVE_DAY_WINDOWS.items()])
+    # a hot user-day is split by the skew join: its other side is one row
+    j = j.join(active, ["user_id", "day"], "inner")
     cnt = {a: (F.col(f"_ci_{a}") + F.coalesce(F.col(f"_cc_{a}"), F.lit(0))).cast("bigint") for a in ACTIONS}
     tot = {a: (F.coalesce(F.col(f"_si_{a}"), F.lit(0)) + F.coalesce(F.col(f"_cs_{a}"), F.lit(0))).cast("double")
            for a in ACTIONS}
     first = F.coalesce(F.col("_first_c"), F.col("_first_in"))
     prev = F.coalesce(F.col("_prev_in"), F.col("_prev_c"))
-    keep = [c for c in ev.columns]
+    keep = [c for c in ev.columns if c != "_pid"]
     return j.select(
         *keep,
         *_stat_columns("user", cnt, tot),
@@ -139,52 +149,36 @@ def user_scan(ev: DataFrame) -> DataFrame:
 # market-wide scan: D3
 # ---------------------------------------------------------------------------
 
-def market_bucket_us(ev: DataFrame, target_rows: int = MARKET_TARGET_ROWS,
-                     max_buckets: int = MARKET_MAX_BUCKETS) -> int:
-    """Bucket width so that a bucket holds about ``target_rows`` rows and the
-    number of buckets stays under ``max_buckets`` (one small stats job)."""
-    r = ev.agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).first()
-    n, lo, hi = r["n"], r["lo"], r["hi"]
-    if not n or lo is None:
-        return DAY_US
-    span = hi - lo + 1
-    width = math.ceil(span * target_rows / n)
-    width = max(width, math.ceil(span / max_buckets), 1)
-    return int(width)
-
-
-def market_scan(ev: DataFrame, bucket_us: int | None = None) -> DataFrame:
+def market_scan(ev: DataFrame, partitions: int | None = None) -> DataFrame:
     """Adds market history (all users, strictly earlier timestamps).
 
-    Rows are range-bucketed by time; the running counts inside a bucket come
-    from a RANGE window, the totals of earlier buckets from a cumulative sum
-    over the bucket table (at most ``MARKET_MAX_BUCKETS`` rows, broadcast).
+    A prefix scan over ranges of time: running counts inside a range come from
+    a RANGE window, the totals of earlier ranges are carries (one row a range).
+    Ranges follow the rows, so a burst is cut finer than a quiet month.
     """
-    if bucket_us is None:
-        bucket_us = market_bucket_us(ev)
-    ev = ev.withColumn("_mb", F.expr(f"ts_us div {int(bucket_us)}"))
-    w = Window.partitionBy("_mb").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
+    ev = _ranged(ev, ["ts_us"], "market-ranges", partitions)
+    w = Window.partitionBy("_pid").orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
     inner = ev.select(
         "*",
         *[F.count(F.when(_is(a), 1)).over(w).alias(f"_mci_{a}") for a in ACTIONS],
         *[F.sum(F.when(_is(a), _amount())).over(w).alias(f"_msi_{a}") for a in ACTIONS],
     )
-    buckets = inner.groupBy("_mb").agg(
+    totals = ev.groupBy("_pid").agg(
         *[F.count(F.when(_is(a), 1)).alias(f"_mc_{a}") for a in ACTIONS],
         *[F.sum(F.when(_is(a), _amount())).alias(f"_ms_{a}") for a in ACTIONS],
     )
-    # bounded by MARKET_MAX_BUCKETS rows: a single ordered pass is fine
-    wb = Window.orderBy("_mb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select(
-        "_mb",
+    # one row a range: a single ordered pass is fine
+    wb = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(
+        "_pid",
         *[F.sum(f"_mc_{a}").over(wb).alias(f"_mcc_{a}") for a in ACTIONS],
         *[F.sum(f"_ms_{a}").over(wb).alias(f"_mcs_{a}") for a in ACTIONS],
     )
-    j = inner.join(F.broadcast(carry), "_mb", "inner")
+    j = inner.join(F.broadcast(carry), "_pid", "inner")
     cnt = {a: (F.col(f"_mci_{a}") + F.coalesce(F.col(f"_mcc_{a}"), F.lit(0))).cast("bigint") for a in ACTIONS}
     tot = {a: (F.coalesce(F.col(f"_msi_{a}"), F.lit(0)) + F.coalesce(F.col(f"_mcs_{a}"), F.lit(0))).cast("double")
            for a in ACTIONS}
-    return j.select(*[c for c in ev.columns if c != "_mb"], *_stat_columns("market", cnt, tot))
+    return j.select(*[c for c in ev.columns if c != "_pid"], *_stat_columns("market", cnt, tot))
 
 
 # ---------------------------------------------------------------------------
@@ -200,11 +194,11 @@ BASE_NUMERIC = (["amount", "amountUSD", "logAmount", "logAmountUSD", "priceInUSD
 FEATURE_COLUMNS = BASE_NUMERIC + ["isWeekend", "category"]
 
 
-def event_features(ev: DataFrame, market_bucket: int | None = None) -> DataFrame:
+def event_features(ev: DataFrame) -> DataFrame:
     """Every event with the 78 numeric columns, ``isWeekend``, ``category``
     and the next time of each outcome action (microseconds, null if none)."""
     base = ev.select("event_id", "ts", "ts_us", "user_id", "event_type", "action", "value", "props")
-    m = market_scan(base, market_bucket)
+    m = market_scan(base)
     u = user_scan(m)
     return u.select(
         "event_id", "ts", "ts_us", "user_id", "event_type", "action",

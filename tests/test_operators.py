@@ -37,13 +37,36 @@ def test_history_is_strictly_past(spark):
     assert a.count() == 0
 
 
-def test_market_scan_bucket_width_does_not_change_results(spark):
+def test_scans_do_not_depend_on_the_ranges(spark):
     from eventsurv.sources.events import load_events
-    from eventsurv.operators.history import market_scan, MARKET_HISTORY_COLUMNS
-    ev = load_events(spark, SF_SMALL).select("event_id", "ts_us", "action", "value")
-    one = market_scan(ev, 10 ** 15).select("event_id", *MARKET_HISTORY_COLUMNS)
-    many = market_scan(ev, 3_600_000_000).select("event_id", *MARKET_HISTORY_COLUMNS)
-    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    from eventsurv.operators import history as H
+    ev = load_events(spark, SF_SMALL).select("event_id", "user_id", "ts_us", "action", "value")
+    for scan, cols in ((H.market_scan, H.MARKET_HISTORY_COLUMNS), (H.user_scan, H.USER_HISTORY_COLUMNS + H.ACTIVITY_COLUMNS + list(H.NEXT_COLUMNS.values()))):
+        one, many = (scan(ev, n).select("event_id", *cols) for n in (1, 23))
+        assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+
+
+def test_a_hot_user_day_and_a_burst_are_spread(spark):
+    """90 % of the rows in one hour of one user: right counts, and no range holds them all."""
+    from eventsurv.operators import history as H
+    rnd = random.Random(4)
+    hour = 3_600_000_000
+    rows = [(i, 1, 10 * H.DAY_US + rnd.randrange(0, hour, 1_000_000) // (1 if i % 3 else 2), rnd.choice(H.ACTIONS), float(rnd.randint(1, 9))) for i in range(900)]
+    rows += [(900 + i, rnd.randint(1, 6), rnd.randrange(0, 20 * H.DAY_US, 1_000_000), rnd.choice(H.ACTIONS), 2.0) for i in range(100)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts_us long, action string, value double").repartition(4)
+    ranged = H._ranged(ev, ["user_id", "ts_us"], "test-ranges", 8)
+    assert max(r["count"] for r in ranged.groupBy("_pid").count().collect()) < 400
+    got = {r["event_id"]: r for r in H.user_scan(H.market_scan(ev, 8), 8).collect()}
+    assert len(got) == 1000
+    for e, u, t, _, _ in rows[::7]:
+        before = [r for r in rows if r[1] == u and r[2] < t]
+        days = {r[2] // H.DAY_US for r in rows if r[1] == u}
+        g = got[e]
+        assert g["userBorrowCount"] == sum(r[3] == "Borrow" for r in before) and g["userRepaySum"] == sum(r[4] for r in before if r[3] == "Repay")
+        assert g["marketDepositCount"] == sum(r[3] == "Deposit" and r[2] < t for r in rows)
+        assert g["userActiveDaysWeekly"] == sum(t // H.DAY_US - 7 <= d < t // H.DAY_US for d in days)
+        assert g["userSecondsSincePreviousTransaction"] == ((t - max(r[2] for r in before)) // 1_000_000 if before else None)
+        assert g["next_Repay_us"] == min((r[2] for r in rows if r[1] == u and r[2] > t and r[3] == "Repay"), default=None)
 
 
 # --- running sums / ranks (§4.3a) ----------------------------------------------
