@@ -15,8 +15,12 @@ training texts are no misspellings of it (``known`` words).
 
 *Context.*  A hit counts less where the window of ``CONTEXT`` words around it
 has quotation marks on both sides or a word that reports speech.  Heaviest
-weight, number of distinct terms, plain and quoted hits and their share of the
-words enter a logistic regression, fitted on at most ``SAMPLE`` labelled rows.
+weights of exact hits and of misspellings, number of distinct terms, plain and
+quoted hits and their share of the words enter a logistic regression, fitted on
+at most ``SAMPLE`` labelled rows.  The fit is crossed: the training texts are
+dealt into ``FOLDS`` parts by their hash and a text is measured with the lexicon
+and the known words learned from the other parts, so the regression sees terms
+and near matches as unseen texts have them.  Scores use the lexicon of all.
 
 Defined cases: null, empty and hit-less texts get the score of no hit; rows
 without a label don't train; without toxic training rows the score is 0;
@@ -40,6 +44,8 @@ LEAST = 3
 PURITY = 0.8
 CONTEXT = 6
 SAMPLE = 20_000
+FOLDS = 5
+FEATURES = 6
 THRESHOLD = 0.3
 QUOTES = set("\"'“”„«»‘’`")
 REPORTING = set("said says wrote quote quoted called term word slur sagte schrieb zitat wort dit écrit cité mot dijo escribió cita palabra".split())
@@ -142,15 +148,16 @@ class Lexicon:
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Heaviest weight, distinct terms, plain hits, quoted hits, share."""
+    """Heaviest weight of an exact hit and of a misspelling, distinct terms,
+    plain hits, quoted hits, share."""
     low = (text or "").lower()
     words = WORD.findall(low)
     hits = {w: m for w in set(words) if (m := lexicon.match(w))}
     if not hits:
-        return [0.0] * 5
+        return [0.0] * FEATURES
     weight = {w: lexicon.terms[t] * (1 - e / len(t)) for w, (t, e) in hits.items()}
     spots = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
-    best = plain = quoted = 0.0
+    best, plain, quoted = [0.0, 0.0], 0.0, 0.0
     for i, (w, s, e) in enumerate(spots):
         if w in hits:
             a, b = max(0, i - CONTEXT), min(len(spots), i + CONTEXT + 1)
@@ -158,10 +165,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             marks = bool(QUOTES & set(before)) and bool(QUOTES & set(after))
             told = any(spots[k][0] in REPORTING for k in range(a, b))
             x = weight[w] * (0.3 if marks or told else 1.0)
-            best = max(best, x)
+            near = int(hits[w][1] > 0)
+            best[near] = max(best[near], x)
             quoted += marks or told
             plain += not (marks or told)
-    return [best, np.log1p(len({t for t, _ in hits.values()})), np.log1p(plain), np.log1p(quoted), 10 * (plain + quoted) / len(words)]
+    return [*best, np.log1p(len({t for t, _ in hits.values()})), np.log1p(plain), np.log1p(quoted), 10 * (plain + quoted) / len(words)]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -179,11 +187,23 @@ def _words_of(keep):
 
 
 def word_counts(texts: DataFrame, rows: DataFrame, keep) -> DataFrame:
-    """``word, clean, toxic``: the texts of ``rows`` (_id, toxic) with each
-    word that ``keep`` holds.  Only these words are shuffled, no text."""
+    """``word, clean, toxic`` (arrays by fold): the texts of ``rows`` (_id, toxic,
+    fold) with each word that ``keep`` holds.  Only these words are shuffled, no text."""
     words = bit_filter(texts, F.col("_id"), rows, "_id").mapInPandas(_words_of(keep), "_id long, words array<string>")
-    return (words.join(rows, "_id").select(F.explode("words").alias("word"), "toxic").groupBy("word")
-            .agg(F.sum((F.col("toxic") == 0).cast("long")).alias("clean"), F.sum("toxic").cast("long").alias("toxic")))
+
+    def by_fold(value: int) -> Column:
+        return F.array(*[F.count(F.when((F.col("toxic") == value) & (F.col("fold") == f), 1)) for f in range(FOLDS)])
+    return (words.join(rows, "_id").select(F.explode("words").alias("word"), "toxic", "fold").groupBy("word")
+            .agg(by_fold(0).alias("clean"), by_fold(1).alias("toxic")))
+
+
+def selected(row, totals: np.ndarray) -> float | None:
+    """Weight of a word with ``row = (clean, toxic)`` texts if it is a term."""
+    (clean, toxic), (c_all, a_all) = row, totals
+    if toxic < LEAST or toxic / (toxic + clean + 0.5) < PURITY:
+        return None
+    w = np.log((toxic + 0.5) / (a_all - toxic + 0.5)) - np.log((clean + 0.5) / (c_all - clean + 0.5))
+    return float(w) if w > 0 else None
 
 
 def word_filter(words: DataFrame):
@@ -225,35 +245,53 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("doc_id is not null and text is not null")
     first = texts.select("_id", F.xxhash64("text").alias("h")).join(marked, "_id").groupBy("h").agg(F.min("_id").alias("_id"), F.max("toxic").alias("toxic"))
-    first = materialize(first.select("_id", "toxic"), "toxic-ids")
-    totals = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    a_all, c_all = totals.get(1, 0), totals.get(0, 0)
-    if not a_all:
+    first = materialize(first.select("_id", "toxic", F.pmod(F.col("h"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-ids")
+    totals = np.zeros((2, FOLDS))
+    for r in first.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        totals[r["toxic"], r["fold"]] = r["n"]
+    if not totals[1].sum():
         return None
-    often = word_counts(texts, first.where("toxic = 1"), lambda w: True).where(F.col("toxic") >= LEAST).select("word", "toxic")
+
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    often = word_counts(texts, first.where("toxic = 1"), lambda w: True).where(total("toxic") >= LEAST).select("word", "toxic")
     often = materialize(often, "toxic-words")
     clean = word_counts(texts, first.where("toxic = 0"), word_filter(often)).select("word", "clean")
-    counts = often.join(clean, "word", "left").select("word", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
-    weight = F.log((F.col("toxic") + 0.5) / (a_all - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (c_all - F.col("clean") + 0.5))
-    ratio = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
-    chosen = counts.select("word", weight.alias("w")).where((ratio >= PURITY) & (weight > 0)).collect()  # the model
-    terms = {r["word"]: float(r["w"]) for r in chosen}
-    bare = Lexicon(terms, set())
+    none = F.array(*[F.lit(0).cast("long")] * FOLDS)
+    counts = often.join(clean, "word", "left").select("word", "toxic", F.coalesce("clean", none).alias("clean"))
+    # only words that can be terms of all texts or of all folds but one: less than that share of their texts is clean
+    pure = total("toxic") / (total("toxic") + total("clean") + 0.5) >= PURITY - 0.3
+    terms: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]            # the last one: of all texts
+    for r in counts.where(pure).collect():                                   # the model
+        n = np.array([r["clean"], r["toxic"]], dtype=float)
+        for f in range(FOLDS + 1):
+            less = n[:, f] if f < FOLDS else 0.0
+            w = selected(n.sum(axis=1) - less, totals.sum(axis=1) - (totals[:, f] if f < FOLDS else 0.0))
+            if w is not None:
+                terms[f][r["word"]] = w
+    bare = Lexicon({w: x for t in terms for w, x in t.items()}, set())
     # clean words within reach of a term: as many as the lexicon's neighbourhood
-    near = word_counts(texts, first, lambda w: bool((m := bare.match(w)) and m[1]))
-    known = {r["word"] for r in near.where("clean > 0 and clean >= toxic").select("word").collect()}
-    lexicon = Lexicon(terms, known)
-    bound = int(min(1.0, SAMPLE / (a_all + c_all)) * 2 ** 40)
+    near = word_counts(texts, first, lambda w: bool((m := bare.match(w)) and m[1]) or w in bare.terms and w not in terms[-1])
+    known: list[set[str]] = [set() for _ in range(FOLDS + 1)]
+    for r in near.where(total("clean") > 0).collect():
+        n = np.array([r["clean"], r["toxic"]])
+        for f in range(FOLDS + 1):
+            c, t = n.sum(axis=1) - (n[:, f] if f < FOLDS else 0)
+            if c > 0 and c >= t:
+                known[f].add(r["word"])
+    crossed = [Lexicon(t, k) for t, k in zip(terms, known)]
+    bound = int(min(1.0, SAMPLE / totals.sum()) * 2 ** 40)
     few = first.where(F.shiftrightunsigned(F.xxhash64("_id"), 24) <= bound)
 
     def measure(batches):
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "x": pd.Series([features(t, lexicon) for t in pdf["text"]], dtype=object)})
+            x = [features(t, crossed[f]) for t, f in zip(pdf["text"], pdf["fold"])]
+            yield pd.DataFrame({"x": pd.Series(x, dtype=object), "y": pdf["toxic"]})
 
-    measured = bit_filter(texts, F.col("_id"), few, "_id").mapInPandas(measure, "_id long, x array<double>")
-    xy = measured.join(few, "_id").select("x", F.col("toxic").alias("y")).collect()  # bounded by SAMPLE
+    measured = bit_filter(texts, F.col("_id"), few, "_id").join(few, "_id").select("text", "fold", "toxic")
+    xy = measured.mapInPandas(measure, "x array<double>, y int").collect()    # bounded by SAMPLE
     xy = sorted(xy, key=lambda r: (r["y"], r["x"]))
-    return lexicon, fit_logistic(np.array([r["x"] for r in xy]), np.array([r["y"] for r in xy], dtype=float))
+    return crossed[-1], fit_logistic(np.array([r["x"] for r in xy]), np.array([r["y"] for r in xy], dtype=float))
 
 
 def score(model, text: str = "text") -> Column:
@@ -263,7 +301,7 @@ def score(model, text: str = "text") -> Column:
         if model is None:
             return pd.Series(np.zeros(len(texts)))
         lexicon, b = model
-        x = np.array([features(t, lexicon) for t in texts]).reshape(-1, 5)
+        x = np.array([features(t, lexicon) for t in texts]).reshape(-1, FEATURES)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30))))
     return of(F.col(text))
 
