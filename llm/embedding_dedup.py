@@ -4,8 +4,8 @@ Vectors are scaled to unit length.  Equal vectors are collapsed to one class
 (smallest vec_id, number of rows).  A coarse quantiser of about ``sqrt(n)``
 centroids (at most ``MAX_LISTS``) gives inverted lists; the residual to the
 list's centroid is coded in ``SUBSPACES`` parts of ``CODEWORDS`` codewords.
-Both are fitted on a bounded sample of ``SAMPLE`` classes (smallest hash);
-every row is indexed and every row is a query.
+Both are fitted on a bounded sample of ``SAMPLE`` classes, or four for each list
+if that is more (smallest hash); every row is indexed and every row is a query.
 
 Search: a query goes to its ``PROBES`` nearest lists.  Table lookups give the
 distance to the coded vector; the code's own error ``e`` is stored, and the
@@ -37,7 +37,7 @@ from eventsurv.sources.materialize import materialize
 from llm.minhash import _forest
 from llm.tables import components
 
-MAX_LISTS = 1024
+MAX_LISTS = 16384
 SAMPLE = 16384
 SUBSPACES = 8
 CODEWORDS = 64
@@ -190,8 +190,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, probes: int = PROBE
     found = empty
     if n > 1:
         lists = int(min(MAX_LISTS, 1 << max(0, round(np.log2(np.sqrt(n))))))
-        bound = int(min(1.0, SAMPLE / n) * 2 ** 40)
-        sample = classes.where(F.shiftrightunsigned(F.xxhash64("k2"), 24) <= bound) if n > SAMPLE else classes
+        size = max(SAMPLE, 4 * lists)
+        bound = int(min(1.0, size / n) * 2 ** 40)
+        sample = classes.where(F.shiftrightunsigned(F.xxhash64("k2"), 24) <= bound) if n > size else classes
         fitted = sample.select("k1", "embedding").groupBy(F.lit(1).alias("one")).applyInPandas(_fit(dim, lists), "model binary").first()
         model = pickle.loads(fitted["model"])
         index = materialize(classes.select("rep", "m", "embedding").mapInPandas(

@@ -243,6 +243,25 @@ def test_embedding_links(spark):
     assert found >= 0.9 * g.sum() and all(got[i]["n_links"] <= g[i].sum() for i in range(len(v)))
 
 
+def test_embedding_recall_where_few_lists_are_probed(spark):
+    """10,000 vectors, some 128 lists of which 16 are probed, links near the threshold."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(7000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=(3000, 24))
+    noise -= (noise * x[:3000]).sum(axis=1)[:, None] * x[:3000]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    cosine = rng.uniform(0.901, 0.95, 3000)[:, None]
+    v = np.concatenate([x, cosine * x[:3000] + np.sqrt(1 - cosine ** 2) * noise]).astype(np.float32)
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = np.array([(u @ row >= 0.9).sum() - 1 for row in u])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": [r.tolist() for r in v], "label": 0}))
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()}
+    assert len(got) == 10_000 and embedding_dedup.PROBES <= 16 < 64
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() and want.sum() >= 6000
+
+
 def test_packing_ids_equal_the_tokenizers_ids():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(BPE)
