@@ -56,10 +56,14 @@ def oversample_exact(df: DataFrame, minority: Column, n_per_group: DataFrame, se
     total = sum(r["n"] for r in rows)
     if total == 0:
         return mino.drop("_one").limit(0)
-    groups = spark.createDataFrame([(*[r[k] for k in keys], r["_off"], r["n"], r["_m"]) for r in rows],
-                                   ", ".join([f"{k} string" for k in keys] + ["_off long", "_n long", "_m long"]))
-    draws = spark.range(total).withColumnRenamed("id", "_k")
-    assigned = draws.join(F.broadcast(groups), (F.col("_k") >= F.col("_off")) & (F.col("_k") < F.col("_off") + F.col("_n")))
+    rows = sorted(rows, key=lambda r: r["_off"])
+    groups = spark.createDataFrame([(i + 1, *[r[k] for k in keys], r["_off"], r["_m"]) for i, r in enumerate(rows)],
+                                   ", ".join(["_g int"] + [f"{k} string" for k in keys] + ["_off long", "_m long"]))
+    # a draw's group: how many groups begin at or before it
+    starts = F.array(*[F.lit(r["_off"]).cast("long") for r in rows])
+    draws = spark.range(total).select(F.col("id").alias("_k"))
+    draws = draws.withColumn("_g", F.size(F.filter(starts, lambda s: s <= F.col("_k"))))
+    assigned = draws.join(F.broadcast(groups), "_g")
     pick = F.floor(unit_hash(F.col("_k") - F.col("_off"), seed) * F.col("_m")).cast("long")
     assigned = assigned.select(*keys, (F.col("_k") - F.col("_off")).alias("draw"), pick.alias("_ord"))
     return assigned.join(ordn, [*keys, "_ord"], "inner").drop("_ord")
