@@ -52,8 +52,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsurv.sources.materialize import materialize
-from llm.tables import bit_filter, bit_flag, bit_table, collected_bits, has_bit, hide_extra, key_bits, small_batches, text_slices
+from eventsurv.sources.materialize import Scratch, materialize
+from llm.tables import arrow_batches, bit_filter, bit_flag, bit_table, collected_bits, has_bit, hide_extra, key_bits, small_batches, text_slices
 from llm.words import constants, mix, powers, shingles, utf8, word_hashes
 
 GRAM = 5
@@ -316,11 +316,12 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     small_batches(spark)
     width = words - GRAM + 1
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    windows = materialize(base.mapInPandas(_windows(words), "key long, doc_id long, k int, l int, c int, r int, content long"), "passage-windows")
-    keys = (windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
-            .where("a < b").select("key", "n"))
-    keys = materialize(keys, "passage-keys")
-    shared = materialize(bit_filter(windows, F.col("key"), keys, "key", 1 << 25), "passage-shared")
+    scratch = Scratch(spark)
+    windows = scratch.write(base.mapInPandas(_windows(words), "key long, doc_id long, k int, l int, c int, r int, content long"), "passage-windows")
+    keys = windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    keys = scratch.write(keys, "passage-keys")
+    shared = scratch.write(bit_filter(windows, F.col("key"), keys, "key", 1 << 25), "passage-shared")
+    scratch.drop(windows, keys)
     first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
     groups = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"), first).where("last > f.doc_id")
               .select("key", "n", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))
@@ -336,15 +337,18 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     found = _checked(pairs, base, words)
     # what no passage found so far explains: by runs and by pairs of signatures
     open_ = _unexplained(shared, found)
+    scratch.drop(shared)
     crowded = open_.join(groups.where("n > 2").select("key"), "key", "left_semi")      # signatures of two were compared already
     twos = (crowded.drop("content").repartition("doc_id").sortWithinPartitions("doc_id", "c")
             .mapInPandas(_signature_pairs(words), "pair long, doc_id long"))
-    twos = materialize(twos, "passage-twos")
-    heads = materialize(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
+    with arrow_batches(spark, 1 << 16, "16m"):          # narrow rows
+        twos = scratch.write(twos, "passage-twos")
+    heads = scratch.write(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                         .where("source_id < last").select("pair", "source_id"), "passage-heads")
     again = bit_filter(twos, F.col("pair"), heads, "pair", 1 << 25).join(heads, "pair").where("doc_id <> source_id")
     again = again.select("doc_id", "source_id").unionByName(_exact_pairs(open_, base, words)).distinct()
     again = materialize(again.join(pairs, ["doc_id", "source_id"], "left_anti"), "passage-again")
+    scratch.close()
     return found.unionByName(_checked(again, base, words))
 
 
