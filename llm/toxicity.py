@@ -197,6 +197,10 @@ def word_counts(texts: DataFrame, rows: DataFrame, keep) -> DataFrame:
             .agg(by_fold(0).alias("clean"), by_fold(1).alias("toxic")))
 
 
+def fold_of(text_hash: Column) -> Column:
+    return F.pmod(text_hash, F.lit(FOLDS)).cast("int")
+
+
 def selected(row, totals: np.ndarray) -> float | None:
     """Weight of a word with ``row = (clean, toxic)`` texts if it is a term."""
     (clean, toxic), (c_all, a_all) = row, totals
@@ -245,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("doc_id is not null and text is not null")
     first = texts.select("_id", F.xxhash64("text").alias("h")).join(marked, "_id").groupBy("h").agg(F.min("_id").alias("_id"), F.max("toxic").alias("toxic"))
-    first = materialize(first.select("_id", "toxic", F.pmod(F.col("h"), F.lit(FOLDS)).cast("int").alias("fold")), "toxic-ids")
+    first = materialize(first.select("_id", "toxic", fold_of(F.col("h")).alias("fold")), "toxic-ids")
     totals = np.zeros((2, FOLDS))
     for r in first.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
         totals[r["toxic"], r["fold"]] = r["n"]
@@ -259,19 +263,20 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     clean = word_counts(texts, first.where("toxic = 0"), word_filter(often)).select("word", "clean")
     none = F.array(*[F.lit(0).cast("long")] * FOLDS)
     counts = often.join(clean, "word", "left").select("word", "toxic", F.coalesce("clean", none).alias("clean"))
-    # only words that can be terms of all texts or of all folds but one: less than that share of their texts is clean
-    pure = total("toxic") / (total("toxic") + total("clean") + 0.5) >= PURITY - 0.3
+    pure = total("toxic") / (total("toxic") + total("clean") + 0.5) >= PURITY
     terms: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]            # the last one: of all texts
     for r in counts.where(pure).collect():                                   # the model
         n = np.array([r["clean"], r["toxic"]], dtype=float)
-        for f in range(FOLDS + 1):
-            less = n[:, f] if f < FOLDS else 0.0
-            w = selected(n.sum(axis=1) - less, totals.sum(axis=1) - (totals[:, f] if f < FOLDS else 0.0))
-            if w is not None:
-                terms[f][r["word"]] = w
-    bare = Lexicon({w: x for t in terms for w, x in t.items()}, set())
+        w = selected(n.sum(axis=1), totals.sum(axis=1))
+        if w is not None:
+            terms[-1][r["word"]] = w
+            for f in range(FOLDS):
+                w = selected(n.sum(axis=1) - n[:, f], totals.sum(axis=1) - totals[:, f])
+                if w is not None:
+                    terms[f][r["word"]] = w
+    bare = Lexicon(terms[-1], set())
     # clean words within reach of a term: as many as the lexicon's neighbourhood
-    near = word_counts(texts, first, lambda w: bool((m := bare.match(w)) and m[1]) or w in bare.terms and w not in terms[-1])
+    near = word_counts(texts, first, lambda w: bool((m := bare.match(w)) and m[1]))
     known: list[set[str]] = [set() for _ in range(FOLDS + 1)]
     for r in near.where(total("clean") > 0).collect():
         n = np.array([r["clean"], r["toxic"]])
@@ -286,10 +291,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray] | No
     def measure(batches):
         for pdf in batches:
             x = [features(t, crossed[f]) for t, f in zip(pdf["text"], pdf["fold"])]
-            yield pd.DataFrame({"x": pd.Series(x, dtype=object), "y": pdf["toxic"]})
+            yield pd.DataFrame({"_id": pdf["_id"], "x": pd.Series(x, dtype=object)})
 
-    measured = bit_filter(texts, F.col("_id"), few, "_id").join(few, "_id").select("text", "fold", "toxic")
-    xy = measured.mapInPandas(measure, "x array<double>, y int").collect()    # bounded by SAMPLE
+    dealt = bit_filter(texts, F.col("_id"), few, "_id").withColumn("fold", fold_of(F.xxhash64("text")))
+    measured = dealt.mapInPandas(measure, "_id long, x array<double>")
+    xy = measured.join(few, "_id").select("x", F.col("toxic").alias("y")).collect()    # bounded by SAMPLE
     xy = sorted(xy, key=lambda r: (r["y"], r["x"]))
     return crossed[-1], fit_logistic(np.array([r["x"] for r in xy]), np.array([r["y"] for r in xy], dtype=float))
 
