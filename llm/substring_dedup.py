@@ -268,46 +268,50 @@ def _confirm(words: int):
     return run
 
 
-def _checked(pairs: DataFrame, base: DataFrame, words: int) -> DataFrame:
+def _checked(pairs: DataFrame, base: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """The spans of candidate pairs ``doc_id, source_id``, by their whole texts."""
-    need = materialize(pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("source_id").alias("id"))).distinct(), "passage-ids")
+    need = scratch.write(pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("source_id").alias("id"))).distinct(), "passage-ids")
     distinct = base.withColumnRenamed("doc_id", "_id")
-    texts = materialize(bit_filter(distinct, F.col("_id"), need, "id").join(need, F.col("_id") == F.col("id"), "left_semi").distinct(), "passage-texts")
+    texts = scratch.write(bit_filter(distinct, F.col("_id"), need, "id").join(need, F.col("_id") == F.col("id"), "left_semi").distinct(), "passage-texts")
     both = (pairs.join(texts, F.col("doc_id") == F.col("_id")).drop("_id")
             .join(texts.select(F.col("_id").alias("_sid"), F.col("text").alias("source_text")), F.col("source_id") == F.col("_sid")))
-    return materialize(both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS), "passage-found")
+    found = materialize(both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS), "passage-found")
+    scratch.drop(need, texts)
+    return found
 
 
-def _exact_pairs(open_: DataFrame, base: DataFrame, words: int) -> DataFrame:
+def _exact_pairs(open_: DataFrame, base: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """Every document that has a run in an open window, with the first document that has it."""
     # windows with equal content are a class: its first document holds all their runs, and
     # only that one's runs are compared, where other classes have the signature too
     ones = open_.where("k = 0").select("key", "content", "doc_id")
-    classes = materialize(ones.groupBy("key", "content").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")), "passage-classes")
+    classes = scratch.write(ones.groupBy("key", "content").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")), "passage-classes")
     copied = classes.where("source_id < last").select("key", "content", "source_id")
     exact = ones.join(copied, ["key", "content"]).where("doc_id <> source_id").select("doc_id", "source_id")
     mixed = classes.groupBy("key").agg(F.min("content").alias("_a"), F.max("content").alias("_b")).where("_a < _b").select("key")
-    firsts = materialize(classes.join(mixed, "key").select(F.col("key").bitwiseXOR(F.col("content")).bitwiseXOR(F.col("source_id")).alias("id"),
+    firsts = scratch.write(classes.join(mixed, "key").select(F.col("key").bitwiseXOR(F.col("content")).bitwiseXOR(F.col("source_id")).alias("id"),
                                                            F.col("source_id").alias("doc")), "passage-firsts")
     held = collected_bits(firsts, "id", key_bits(firsts.count()))
-    runs = materialize(bit_filter(base, F.col("doc_id"), firsts, "doc", 1 << 25).mapInPandas(_runs(words, held), "run long, doc_id long"), "passage-runs")
-    holders = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
+    runs = scratch.write(bit_filter(base, F.col("doc_id"), firsts, "doc", 1 << 25).mapInPandas(_runs(words, held), "run long, doc_id long"), "passage-runs")
+    holders = scratch.write(runs.groupBy("run").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                           .where("source_id < last").select("run", "source_id"), "passage-holders")
     return exact.unionByName(bit_filter(runs, F.col("run"), holders, "run", 1 << 25).join(holders, "run")
                              .where("doc_id <> source_id").select("doc_id", "source_id"))
 
 
-def _unexplained(shared: DataFrame, found: DataFrame) -> DataFrame:
+def _unexplained(shared: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """Windows with their centre outside the passages found so far, of
     signatures that such windows of two documents share."""
     spans = found.select(F.col("doc_id").alias("_id"), "start_word", "end_word").distinct()
     flagged = bit_flag(shared, F.col("doc_id"), bit_table(spans, "_id", 1 << 25), "_maybe", 1 << 25)
     doubt = flagged.where("_maybe").drop("_maybe").join(
         spans, (F.col("doc_id") == F.col("_id")) & (F.col("c") >= F.col("start_word")) & (F.col("c") + GRAM <= F.col("end_word")), "left_anti")
-    left = materialize(flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(doubt), "passage-open")
+    left = scratch.write(flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(doubt), "passage-open")
     # a source's own windows are open too: they stay where a document still has the signature
     alive = left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    return materialize(left.join(alive, "key", "left_semi"), "passage-alive")
+    open_ = scratch.write(left.join(alive, "key", "left_semi"), "passage-alive")
+    scratch.drop(left)
+    return open_
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -325,7 +329,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
     groups = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"), first).where("last > f.doc_id")
               .select("key", "n", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))
-    groups = materialize(groups, "passage-groups")
+    groups = scratch.write(groups, "passage-groups")
     hits = shared.drop("content").join(groups.drop("n"), "key")
     off = F.col("c") - F.col("fc")
     lo = F.greatest("l", F.col("fl") + off, F.col("c") - (width - 1))
@@ -333,10 +337,10 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     near = (hits.withColumns({"off": off, "lo": lo, "hi": hi}).where("lo <= hi and doc_id <> source_id")
             .groupBy("doc_id", "source_id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"))
             .where(F.bit_count("ks") >= NEEDED).select("doc_id", "source_id"))
-    pairs = materialize(near, "passage-pairs")
-    found = _checked(pairs, base, words)
+    pairs = scratch.write(near, "passage-pairs")
+    found = _checked(pairs, base, words, scratch)
     # what no passage found so far explains: by runs and by pairs of signatures
-    open_ = _unexplained(shared, found)
+    open_ = _unexplained(shared, found, scratch)
     scratch.drop(shared)
     crowded = open_.join(groups.where("n > 2").select("key"), "key", "left_semi")      # signatures of two were compared already
     twos = (crowded.drop("content").repartition("doc_id").sortWithinPartitions("doc_id", "c")
@@ -346,10 +350,11 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     heads = scratch.write(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
                         .where("source_id < last").select("pair", "source_id"), "passage-heads")
     again = bit_filter(twos, F.col("pair"), heads, "pair", 1 << 25).join(heads, "pair").where("doc_id <> source_id")
-    again = again.select("doc_id", "source_id").unionByName(_exact_pairs(open_, base, words)).distinct()
-    again = materialize(again.join(pairs, ["doc_id", "source_id"], "left_anti"), "passage-again")
+    again = again.select("doc_id", "source_id").unionByName(_exact_pairs(open_, base, words, scratch)).distinct()
+    again = scratch.write(again.join(pairs, ["doc_id", "source_id"], "left_anti"), "passage-again")
+    more = _checked(again, base, words, scratch)
     scratch.close()
-    return found.unionByName(_checked(again, base, words))
+    return found.unionByName(more)
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
