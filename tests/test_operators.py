@@ -118,6 +118,23 @@ def test_cindex_all_censored_is_null(spark):
     assert r == [] or r[0].c_index is None
 
 
+@pytest.mark.parametrize("cell_rows", [7, 50, 1 << 16])
+def test_pair_counts_do_not_depend_on_the_cells(spark, cell_rows):
+    """Frequent times and scores, NaN, odd statuses, null keys: equal to the brute force for every cut."""
+    from eventsurv.operators.concordance import pair_counts
+    rnd = random.Random(cell_rows)
+    rows = [(rnd.choice("ab"), float(rnd.choice([0, 0, 1, 2, rnd.randint(3, 60)])), rnd.choice([0, 0, 1, 1, 1, 2]),
+             rnd.choice([0.0, -0.0, 1.5, float("nan"), float("inf"), rnd.random(), rnd.random()])) for _ in range(300)]
+    rows += [("one", 1.0, 1, 2.0), (None, 1.0, 1, 2.0), ("a", None, 1, 0.0), ("a", 1.0, None, 0.0), ("a", 1.0, 1, None)]
+    df = spark.createDataFrame(rows, "g string, timeDiff double, status int, score double").repartition(3)
+    got = {r.g: (r.concordant, r.tied, r.comparable, r.c_index) for r in pair_counts(df, ["g"], cell_rows=cell_rows).collect()}
+    assert set(got) == {"a", "b", "one"} and got["one"] == (0, 0, 0, None)
+    for g in "ab":
+        of = [(t, 1 - d, (math.isnan(s), 0.0 if math.isnan(s) else s)) for k, t, d, s in rows if k == g and None not in (t, d, s)]
+        pairs = [(x[2], y[2]) for x in of if x[1] == 0 for y in of if x[:2] < y[:2]]
+        assert got[g][:3] == (sum(x < y for x, y in pairs), sum(x == y for x, y in pairs), len(pairs))
+
+
 # --- preprocessing semantics ---------------------------------------------------------
 def test_preprocess_nulls_constants_and_other(spark):
     from eventsurv.operators.preprocess import Preprocessor
