@@ -6,8 +6,8 @@ the sums of the gradient g and hessian h; the best split maximises
     gain = 1/2 [T(GL)^2 / (HL + lambda) + T(GR)^2 / (HR + lambda) - T(G)^2 / (H + lambda)] - gamma
 
 with T the soft threshold at alpha and both children holding at least
-``min_child_weight`` hessian.  Rows are unpivoted over the features inside
-the scan and aggregated to (transition, feature, bin) -- transitions x
+``min_child_weight`` hessian.  Rows move with one byte a feature, are unpivoted
+over the features inside the scan and aggregated to (transition, feature, bin) -- transitions x
 features x bins rows -- so all transitions share one job; the cumulative
 sums run over at most ``bins`` rows per (transition, feature).
 """
@@ -21,17 +21,20 @@ KEYS = ["index_event", "outcome_event"]
 
 
 def equal_width_bins(df: DataFrame, cols: list[str], bins: int, keys=KEYS) -> DataFrame:
-    """Long form ``(keys, row_id, feature, bin, g, h)``: each feature cut into
-    ``bins`` equal-width bins between its per-transition min and max (the
-    range table has transitions x features rows and is broadcast)."""
-    vals = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols]))
-    long = df.select(*keys, "row_id", "g", "h", vals.alias("_v")).select(*keys, "row_id", "g", "h", "_v.feature", "_v.x")
-    rng = long.groupBy(*keys, "feature").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    j = long.join(F.broadcast(rng), [*keys, "feature"], "inner")
-    width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / width * F.lit(bins)), F.lit(bins - 1))) \
-        .otherwise(F.lit(0)).cast("int")
-    return j.where(F.col("x").isNotNull()).select(*keys, "row_id", "feature", b.alias("bin"), "g", "h")
+    """``(keys, row_id, bins)``: each feature cut into ``bins`` equal-width bins between
+    its per-transition min and max, a row's bins as one array of bytes (null where the
+    value is).  The ranges are one row a transition and are broadcast; rows stay where they are."""
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    rng = (df.select(*keys, F.posexplode(values).alias("_place", "_x")).groupBy(*keys, "_place").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+           .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", "_lo", "_hi"))).alias("_range")))
+    j = df.join(F.broadcast(rng), keys, "inner")
+
+    def number(i: int, c: str) -> Column:
+        x, at = F.col(c).cast("double"), F.col("_range")[i]
+        width = at["_hi"] - at["_lo"]
+        b = F.when(width > 0, F.least(F.floor((x - at["_lo"]) / width * F.lit(bins)), F.lit(bins - 1))).otherwise(F.lit(0))
+        return F.when(x.isNotNull(), b).cast("tinyint" if bins <= 128 else "int")
+    return j.select(*keys, "row_id", F.array(*[number(i, c) for i, c in enumerate(cols)]).alias("bins"))
 
 
 def soft_threshold(g: Column, alpha: float) -> Column:
@@ -40,12 +43,15 @@ def soft_threshold(g: Column, alpha: float) -> Column:
     return F.signum(g) * F.greatest(F.abs(g) - F.lit(alpha), F.lit(0.0))
 
 
-def best_first_split(binned: DataFrame, lam: float = 1.0, alpha: float = 0.0, gamma: float = 0.0,
+def best_first_split(binned: DataFrame, cols: list[str], lam: float = 1.0, alpha: float = 0.0, gamma: float = 0.0,
                      min_child_weight: float = 1.0, keys=KEYS) -> DataFrame:
-    """``(keys, feature, bin, gain)``: the best root split per transition
+    """``(keys, feature, bin, gain)``: the best root split per transition of rows
+    ``(keys, bins, g, h)``, ``bins`` in the order of ``cols``
     (left child = bins <= ``bin``); ties go to the smaller feature name, then bin.
     The window ranks transitions x features x bins candidates (bounded)."""
-    hist = binned.groupBy(*keys, "feature", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+    hist = (binned.select(*keys, "g", "h", F.posexplode("bins").alias("_place", "bin")).where(F.col("bin").isNotNull())
+            .groupBy(*keys, "_place", "bin").agg(F.sum("g").alias("G"), F.sum("h").alias("H"))
+            .select(*keys, F.array(*map(F.lit, cols))[F.col("_place")].alias("feature"), F.col("bin").cast("int").alias("bin"), "G", "H"))
     w = Window.partitionBy(*keys, "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wt = Window.partitionBy(*keys, "feature")
     c = hist.select(*keys, "feature", "bin", F.sum("G").over(w).alias("GL"), F.sum("H").over(w).alias("HL"),

@@ -304,6 +304,6 @@ def q_boost_first_split(spark, sf_dir):
     best root split per transition over all columns (lambda 1, alpha 0, gamma 0, min child weight 1)."""
     t = transf(spark, sf_dir).where(F.col("split") == "train")
     g = cox_gradients(t.select(*KEYS, "row_id", "timeDiff", "status"), F.lit(0.0))
-    rows = g.join(t.select(*KEYS, "row_id", *SPLIT_COLUMNS), [*KEYS, "row_id"], "inner")
-    best = best_first_split(equal_width_bins(rows, SPLIT_COLUMNS, SPLIT_BINS), lam=SPLIT_LAMBDA)
+    binned = equal_width_bins(t.select(*KEYS, "row_id", *SPLIT_COLUMNS), SPLIT_COLUMNS, SPLIT_BINS)
+    best = best_first_split(g.join(binned, [*KEYS, "row_id"], "inner"), SPLIT_COLUMNS, lam=SPLIT_LAMBDA)
     return rounded(best)
