@@ -306,10 +306,10 @@ def _unexplained(shared: DataFrame, found: DataFrame, scratch: Scratch) -> DataF
     flagged = bit_flag(shared, F.col("doc_id"), bit_table(spans, "_id", 1 << 25), "_maybe", 1 << 25)
     doubt = flagged.where("_maybe").drop("_maybe").join(
         spans, (F.col("doc_id") == F.col("_id")) & (F.col("c") >= F.col("start_word")) & (F.col("c") + GRAM <= F.col("end_word")), "left_anti")
-    left = scratch.write(flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(doubt), "passage-open")
+    left = scratch.write(flagged.where(~F.col("_maybe")).drop("_maybe").unionByName(doubt), "passage-open", "zstd")
     # a source's own windows are open too: they stay where a document still has the signature
     alive = left.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    open_ = scratch.write(left.join(alive, "key", "left_semi"), "passage-alive")
+    open_ = scratch.write(left.join(alive, "key", "left_semi"), "passage-alive", "zstd")
     scratch.drop(left)
     return open_
 
@@ -321,15 +321,15 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     width = words - GRAM + 1
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     scratch = Scratch(spark)
-    windows = scratch.write(base.mapInPandas(_windows(words), "key long, doc_id long, k int, l int, c int, r int, content long"), "passage-windows")
+    windows = scratch.write(base.mapInPandas(_windows(words), "key long, doc_id long, k int, l int, c int, r int, content long"), "passage-windows", "zstd")
     keys = windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
     keys = scratch.write(keys, "passage-keys")
-    shared = scratch.write(bit_filter(windows, F.col("key"), keys, "key", 1 << 25), "passage-shared")
+    shared = scratch.write(bit_filter(windows, F.col("key"), keys, "key", 1 << 25), "passage-shared", "zstd")
     scratch.drop(windows, keys)
     first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
     groups = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"), first).where("last > f.doc_id")
               .select("key", "n", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))
-    groups = scratch.write(groups, "passage-groups")
+    groups = scratch.write(groups, "passage-groups", "zstd")
     hits = shared.drop("content").join(groups.drop("n"), "key")
     off = F.col("c") - F.col("fc")
     lo = F.greatest("l", F.col("fl") + off, F.col("c") - (width - 1))
@@ -346,9 +346,9 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     twos = (crowded.drop("content").repartition("doc_id").sortWithinPartitions("doc_id", "c")
             .mapInPandas(_signature_pairs(words), "pair long, doc_id long"))
     with arrow_batches(spark, 1 << 16, "16m"):          # narrow rows
-        twos = scratch.write(twos, "passage-twos")
+        twos = scratch.write(twos, "passage-twos", "zstd")
     heads = scratch.write(twos.groupBy("pair").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
-                        .where("source_id < last").select("pair", "source_id"), "passage-heads")
+                        .where("source_id < last").select("pair", "source_id"), "passage-heads", "zstd")
     again = bit_filter(twos, F.col("pair"), heads, "pair", 1 << 25).join(heads, "pair").where("doc_id <> source_id")
     again = again.select("doc_id", "source_id").unionByName(_exact_pairs(open_, base, words, scratch)).distinct()
     again = scratch.write(again.join(pairs, ["doc_id", "source_id"], "left_anti"), "passage-again")
