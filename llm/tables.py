@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsurv.sources.materialize import materialize
+from eventsurv.sources.materialize import materialize, settings
 
 WHITE = r"[\x20\x09-\x0D]+"
 BITS = 1 << 23
@@ -30,15 +30,8 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> Non
 def arrow_batches(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
     """Arrow batches of bounded rows and bytes for the jobs run inside; the
     caller's settings come back afterwards."""
-    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {n: spark.conf.get(n, None) for n in names}
-    for n, v in names.items():
-        spark.conf.set(n, v)
-    try:
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}):
         yield
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -424,3 +425,45 @@ def test_packing_fills_windows_to_the_target_shares(spark):
             assert r["due"] == pytest.approx(share[r["source"]] * window) and abs(r["served"] - r["due"]) <= 2 * quantum
     with pytest.raises(ValueError):
         packing.pack(docs, BPE, targets={"a": 0.0}).collect()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from eventsurv.sources.materialize import Scratch, materialize
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return str(files.getAllFiles().mkString("\n")).count("/shuffle_")
+
+    before, kept = spark.conf.get(name, None), shuffles()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    with Scratch(spark) as scratch:
+        assert materialize(counts, "test-counts").count() == scratch.write(counts, "test-counts").count() == 7
+        end = time.time() + 20
+        while shuffles() > kept + 2 and time.time() < end:   # what the two counts themselves shuffle may stay
+            time.sleep(0.2)
+        assert shuffles() <= kept + 2 * 2 and spark.conf.get(name, None) == before
+
+
+def test_lexicon_equals_counts_of_all_texts(spark, monkeypatch):
+    """Words that a part of the clean texts rules out are those that all of them rule out."""
+    rng = random.Random(5)
+    vocabulary = ["w" + "".join(rng.choices("abcdefgh", k=5)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(rng.choices(vocabulary[:30] if bad else vocabulary[10 + i % 11:], k=6)), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    first = {}
+    for _, t, y in rows:
+        first[t] = max(first.get(t, 0), y)
+    n = {w: [sum(w in t.split() for t, y in first.items() if y == c) for c in (0, 1)] for w in vocabulary}
+    totals = [sum(y == c for y in first.values()) for c in (0, 1)]
+    want = {w: x for w in vocabulary if (x := toxicity.selected(n[w], totals)) is not None}
+    moved = []
+    counts = toxicity.word_counts
+    monkeypatch.setattr(toxicity, "word_counts", lambda texts, rows, keep: moved.append([w for w in vocabulary if keep(w)]) or counts(texts, rows, keep))
+    lexicon, _ = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert lexicon.terms == pytest.approx(want) and want
+    assert len(moved[2]) < len(moved[1])       # the words of all clean texts that are counted
