@@ -61,6 +61,7 @@ WORDS = 50
 HASHES = 6
 NEEDED = 3
 THRESHOLD = 80
+TOGETHER = 256
 _U = np.uint64
 SPANS = "doc_id long, source_id long, start_word int, end_word int, start_byte int, end_byte int, similarity double"
 
@@ -271,12 +272,17 @@ def _confirm(words: int):
 def _checked(pairs: DataFrame, base: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """The spans of candidate pairs ``doc_id, source_id``, by their whole texts."""
     need = scratch.write(pairs.select(F.col("doc_id").alias("id")).unionByName(pairs.select(F.col("source_id").alias("id"))).distinct(), "passage-ids")
-    distinct = base.withColumnRenamed("doc_id", "_id")
-    texts = scratch.write(bit_filter(distinct, F.col("_id"), need, "id").join(need, F.col("_id") == F.col("id"), "left_semi").distinct(), "passage-texts")
-    both = (pairs.join(texts, F.col("doc_id") == F.col("_id")).drop("_id")
-            .join(texts.select(F.col("_id").alias("_sid"), F.col("text").alias("source_text")), F.col("source_id") == F.col("_sid")))
+    # a source's pairs are dealt into parts, of about ``TOGETHER`` documents where it has more
+    many = pairs.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER)   # a row for so many pairs
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce(F.ceil(F.col("n") / TOGETHER), F.lit(1))).alias("part")
+    dealt = scratch.write(pairs.join(F.broadcast(many), "source_id", "left").select("doc_id", "source_id", part), "passage-dealt")
+    # texts are dealt by id once, for the join with either id
+    texts = bit_filter(base.withColumnRenamed("doc_id", "_id"), F.col("_id"), need, "id", 1 << 25).repartition("_id").distinct()
+    of_doc = dealt.join(texts, F.col("doc_id") == F.col("_id")).drop("_id")
+    of_source = dealt.select("source_id", "part").distinct().join(texts.withColumnsRenamed({"_id": "_sid", "text": "source_text"}), F.col("source_id") == F.col("_sid"))
+    both = of_doc.join(of_source, ["source_id", "part"])
     found = materialize(both.select("doc_id", "source_id", "text", "source_text").mapInPandas(_confirm(words), SPANS), "passage-found")
-    scratch.drop(need, texts)
+    scratch.drop(need, dealt)
     return found
 
 
@@ -322,10 +328,11 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     scratch = Scratch(spark)
     windows = scratch.write(base.mapInPandas(_windows(words), "key long, doc_id long, k int, l int, c int, r int, content long"), "passage-windows", "zstd")
-    keys = windows.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    keys = scratch.write(keys, "passage-keys")
-    shared = scratch.write(bit_filter(windows, F.col("key"), keys, "key", 1 << 25), "passage-shared", "zstd")
-    scratch.drop(windows, keys)
+    # one half of the keys after the other: their shuffles are as large as the windows themselves
+    halves = [scratch.write(windows.where(half).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"),
+                            "passage-keys") for half in ("key < 0", "key >= 0")]
+    shared = scratch.write(bit_filter(windows, F.col("key"), halves[0].unionByName(halves[1]), "key", 1 << 25), "passage-shared", "zstd")
+    scratch.drop(windows, *halves)
     first = F.min(F.struct("doc_id", "c", "l", "r")).alias("f")
     groups = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"), first).where("last > f.doc_id")
               .select("key", "n", F.col("f.doc_id").alias("source_id"), F.col("f.c").alias("fc"), F.col("f.l").alias("fl"), F.col("f.r").alias("fr")))

@@ -467,3 +467,18 @@ def test_lexicon_equals_counts_of_all_texts(spark, monkeypatch):
     lexicon, _ = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert lexicon.terms == pytest.approx(want) and want
     assert len(moved[2]) < len(moved[1])       # the words of all clean texts that are counted
+
+
+def test_pairs_of_a_source_are_confirmed_in_parts(spark, monkeypatch):
+    """A source of many pairs is dealt into parts; texts move by shuffles that go with their query, in no table of their own."""
+    rng = random.Random(17)
+    passage = words(rng, 70)
+    rows = [(i, f"{words(rng, 30)} {passage} {words(rng, 30)}") for i in range(20)] + [(99, words(rng, 90)), (5, words(rng, 90))]
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 3)
+    written = []
+    write = substring_dedup.Scratch.write
+    monkeypatch.setattr(substring_dedup.Scratch, "write", lambda self, df, name, *a: written.append(name) or write(self, df, name, *a))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["source_id"]) for r in found) == [(i, 0) for i in range(1, 20)]
+    assert all(r["end_word"] - r["start_word"] >= 70 for r in found)
+    assert "passage-texts" not in written and written.count("passage-keys") == 2
