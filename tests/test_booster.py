@@ -264,6 +264,9 @@ def test_rounds_in_one_task_equal_rounds_in_jobs(spark, monkeypatch, more):
         runs = [Run(**{**run.__dict__, "group": g, "max_depth": d}) for g in range(2) for d in (4, 2)]
         whole = booster.train(b, runs)
         assert not jobs
+        monkeypatch.setattr(booster, "COPIED_BYTES", 0)
+        shared = booster.train(b, runs)
+        assert not jobs and shared.splits == whole.splits and shared.trace == whole.trace
         monkeypatch.setattr(booster, "TASK_BYTES", 0)
         parts = booster.train(b, runs)
         assert jobs
